@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balanced_shards, pattern_packing, piece_codec, quality_rules, seekable_warc
+from . import balanced_shards, pattern_packing, piece_codec, quality_rules, seekable_warc, simhash
 from .common import read
 
 
@@ -17,6 +17,10 @@ def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprints_linked(read(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
@@ -30,7 +34,7 @@ def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op2_sentencepiece_codec, op4_warc_bundles, op6_quality_rules, op7_pattern_packing, op9_byte_shards)
+    own = (op2_sentencepiece_codec, op4_warc_bundles, op5_simhash, op6_quality_rules, op7_pattern_packing, op9_byte_shards)
     return {f.__name__: f for f in own}
 
 
