@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balanced_shards, pattern_packing, piece_codec, quality_rules, seekable_warc, simhash
+from . import balanced_shards, pattern_packing, pii_surrogates, piece_codec, quality_rules, seekable_warc, simhash, suffix_dedup
 from .common import read
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.replace(read(spark, sf_dir, "documents").select("doc_id", "text"), count_column="n_mentions")
+
+
 def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_decode(read(spark, sf_dir, "documents"))
 
@@ -29,12 +33,16 @@ def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pattern_packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards.shard_by_bytes(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    own = (op2_sentencepiece_codec, op4_warc_bundles, op5_simhash, op6_quality_rules, op7_pattern_packing, op9_byte_shards)
+    own = (op1_pii_surrogates, op2_sentencepiece_codec, op4_warc_bundles, op5_simhash, op6_quality_rules, op7_pattern_packing, op8_suffix_dedup, op9_byte_shards)
     return {f.__name__: f for f in own}
 
 
