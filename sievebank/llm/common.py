@@ -117,3 +117,15 @@ def no_collector():
     finally:
         if on:
             gc.enable()
+
+
+def portions(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts of about ``most`` characters, or of one longer text."""
+    begin = size = 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield begin, k
+            begin, size = k, 0
+        size += len(t)
+    if begin < len(texts):
+        yield begin, len(texts)

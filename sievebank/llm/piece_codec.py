@@ -30,7 +30,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import Memory, no_collector, text_or_empty, tokenizer_file
+from .common import Memory, no_collector, portions, text_or_empty, tokenizer_file
 
 SPACE = "▁"
 
@@ -340,8 +340,10 @@ def encode_decode(docs: DataFrame, model: str = "piece_bpe_32k.model", id_column
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = codec(tokenizer_file(model))
         for batch in batches:
-            with no_collector():
-                out = [(i, *d) for i, d in zip(batch.column(0).to_pylist(), table.digests(batch.column(1).to_pylist()), strict=True)]
+            ids, texts, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for i, j in portions(texts):
+                with no_collector():
+                    out += [(k, *d) for k, d in zip(ids[i:j], table.digests(texts[i:j]), strict=True)]
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)],
