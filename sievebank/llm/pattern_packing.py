@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import Memory, no_collector, persist, text_or_empty, tokenizer_file
+from .common import Memory, no_collector, persist, portions, text_or_empty, tokenizer_file
 
 CAPACITY = 2048
 END_ID = 0
@@ -114,9 +114,11 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, id_column: str, te
         model, part, seen = chunk_tokenizer(tokenizer_file(tokenizer)), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             out: list[tuple] = []
-            with no_collector():
-                texts = model.ids(batch.column(1).to_pylist())
-            for doc, ids in zip(batch.column(0).to_pylist(), texts, strict=True):
+            texts, encoded = batch.column(1).to_pylist(), []
+            for i, j in portions(texts):
+                with no_collector():
+                    encoded += model.ids(texts[i:j])
+            for doc, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 ids += end
                 for k in range(0, len(ids), wide):
                     own = ids[k : k + wide]

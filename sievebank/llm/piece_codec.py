@@ -34,8 +34,11 @@ from .common import Memory, no_collector, portions, text_or_empty, tokenizer_fil
 
 SPACE = "▁"
 
-#: Spaces start a segment and a newline is one: no token holds a newline, or a space behind another character.
-SEGMENT = re.compile(f"\n|[ {SPACE}]*[^ {SPACE}\n]+|[ {SPACE}]+")
+LETTER = r"[^\W\d_¹²³]"
+#: A newline, letters or other characters, each with the spaces before it. No token may reach
+#: from one segment into the next; that is checked against the vocabulary.
+SEGMENT = re.compile(rf"[ {SPACE}]*{LETTER}+|[ {SPACE}]*(?:[^ {SPACE}\n\w]|[\d_¹²³])+|[ {SPACE}]+|\n")
+PLAIN = re.compile(" ?[a-zA-ZÀ-ÖØ-öø-ÿ]+")
 
 SCHEMA = T.StructType(
     [
@@ -89,7 +92,9 @@ class PrefixTable:
         self.memory = Memory()
         self.touching = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         self.cuts = self._cuts()
-        if any("\n" in p or " " in p or SPACE in p.lstrip(SPACE) for p in self.pieces):
+        letter = re.compile(LETTER)
+        mixed = any(SPACE not in p and bool(letter.match(p[0])) != bool(letter.match(p[1])) for p in self.touching)
+        if mixed or any("\n" in p or " " in p or SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("tokens of this model reach across the segments")
 
     def _split(self, piece: str) -> tuple[int, int] | None:
@@ -271,27 +276,39 @@ class PrefixTable:
 
     def learn(self, segments: set[str]) -> dict[str, tuple[str, tuple[int, ...]]]:
         """The ids of segments of a text, in decimal joined by commas, and as numbers."""
-        parts = {s: [y for x in self.cuts.findall(s.replace(" ", SPACE)) for y in self._cut(x)] for s in segments}
-        young, old, ids, wanted = self.memory.young, self.memory.old, {}, []
-        for x in {x for xs in parts.values() for x in xs}:
-            got = young.get(key := x.replace(SPACE, " ")) or old.get(key)
-            if got is None:
-                wanted.append(x)
-            else:
-                ids[x] = got[1]
-        plain = [x for x in wanted if len(x) > 1]
-        ids.update(zip(plain, self.last_tokens_all(plain), strict=True))
-        for x in wanted:
+        young, old, number = self.memory.young, self.memory.old, self.numbers
+        out: dict[str, tuple[str, tuple[int, ...]]] = {}
+        parts: dict[str, list[str]] = {}
+        wanted: set[str] = set()
+        for s in segments:
+            if PLAIN.fullmatch(s):
+                wanted.add(s)
+                continue
+            parts[s] = own = [y.replace(SPACE, " ") for x in self.cuts.findall(s.replace(" ", SPACE)) for y in self._cut(x)]
+            for x in own:
+                if x not in out:
+                    got = young.get(x) or old.get(x)
+                    if got is None:
+                        wanted.add(x)
+                    else:
+                        out[x] = got
+        order = list(wanted)
+        pieces = [x.replace(" ", SPACE) for x in order]
+        long = [k for k, x in enumerate(pieces) if len(x) > 1]
+        ids: list[list[int]] = [[]] * len(pieces)
+        for k, x in zip(long, self.last_tokens_all([pieces[k] for k in long]), strict=True):
+            ids[k] = x
+        for k, x in enumerate(pieces):
             if len(x) == 1:
                 own = self.pieces.get(x)
-                ids[x] = [self.byte_ids[b] for b in x.encode("utf-8", "surrogatepass")] if own is None else [own]
+                ids[k] = [self.byte_ids[b] for b in x.encode("utf-8", "surrogatepass")] if own is None else [own]
         # the numbers are shared, so a remembered segment costs little more than its own text
-        number = self.numbers
-        out = {}
-        for s, xs in parts.items():
-            flat = tuple([number[i] for x in xs for i in ids[x]])
-            out[s] = (",".join(map(str, flat)), flat)
-        return out | {s: (",".join(map(str, ids[x])), tuple(ids[x])) for x in plain if (s := x.replace(SPACE, " ")) not in out}
+        for s, x in zip(order, ids, strict=True):
+            out[s] = (",".join(map(str, x)), tuple([number[i] for i in x]))
+        for s, own in parts.items():
+            if s not in out:
+                out[s] = (",".join([out[x][0] for x in own]), tuple([i for x in own for i in out[x][1]]))
+        return out
 
     def encoded(self, texts: list[str]) -> list[list[tuple[str, tuple[int, ...]]]]:
         """For each text what ``learn`` gives for its segments, in order."""
