@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balanced_shards, pattern_packing, pii_surrogates, piece_codec, quality_rules, seekable_warc, simhash, suffix_dedup
+from . import balanced_shards, context_trees, pattern_packing, pii_surrogates, piece_codec, quality_rules, seekable_warc, simhash, suffix_dedup
 from .common import read
 
 
@@ -16,6 +16,10 @@ def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_decode(read(spark, sf_dir, "documents"))
 
 
+def op3_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_trees.score(read(spark, sf_dir, "documents"))
+
+
 def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = seekable_warc.round_trip(read(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -42,7 +46,7 @@ def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_pii_surrogates, op2_sentencepiece_codec, op4_warc_bundles, op5_simhash, op6_quality_rules, op7_pattern_packing, op8_suffix_dedup, op9_byte_shards)
+    own = (op1_pii_surrogates, op2_sentencepiece_codec, op3_context_tree_scores, op4_warc_bundles, op5_simhash, op6_quality_rules, op7_pattern_packing, op8_suffix_dedup, op9_byte_shards)
     return {f.__name__: f for f in own}
 
 

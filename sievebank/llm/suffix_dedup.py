@@ -179,7 +179,7 @@ def refined(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.where(whole, least[inverse.reshape(n, SPAN)], NULL_ID)
 
 
-def blocks_of(docs: DataFrame, id_column: str, text_column: str, extra: list[str]) -> DataFrame:
+def blocks_of(docs: DataFrame, id_column: str, text_column: str, extra: list[str], most: int = BLOCK_BYTES) -> DataFrame:
     """Documents packed side by side into blocks, in a table in the shared folder."""
     schema = T.StructType(
         [
@@ -220,7 +220,7 @@ def blocks_of(docs: DataFrame, id_column: str, text_column: str, extra: list[str
             own_ids, own = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             at = 0
             for k, t in enumerate(own):
-                if size and size + len(t) > BLOCK_BYTES:
+                if size and size + len(t) > most:
                     rest.append(batch.slice(at, k - at).select(range(2, 2 + len(extra))))
                     yield done()
                     ids, texts, rest, size, at = [], [], [], 0, k
@@ -241,7 +241,7 @@ def opened(row: dict) -> Block:
 def cut(docs: DataFrame, id_column: str, text_column: str, extra: list[str], finish, schema: T.StructType) -> DataFrame:
     """``finish(row of the block, block, covered)`` for each block, where ``covered`` marks the bytes to remove."""
     spark = docs.sparkSession
-    blocks = blocks_of(docs, id_column, text_column, extra)
+    blocks = blocks_of(docs, id_column, text_column, extra, BLOCK_BYTES)
     plain = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).first()["n"] or 0
     buckets = max(shuffle_partitions(spark), plain // (64 << 20))
     key = pa.schema([("bucket", pa.int32()), ("block", pa.string()), ("hashes", pa.binary()), ("many", pa.binary())])
