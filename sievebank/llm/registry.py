@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balanced_shards, context_trees, pattern_packing, pii_surrogates, piece_codec, quality_rules, seekable_warc, simhash, suffix_dedup
+from . import balanced_shards, context_trees, image_copies, pattern_packing, pii_surrogates, piece_codec, quality_rules, seekable_warc, simhash, suffix_dedup
 from .common import read
 
 
@@ -45,8 +45,12 @@ def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards.shard_by_bytes(read(spark, sf_dir, "documents"))
 
 
+def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return image_copies.find_copies(image_copies.pictures(read(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict:
-    own = (op1_pii_surrogates, op2_sentencepiece_codec, op3_context_tree_scores, op4_warc_bundles, op5_simhash, op6_quality_rules, op7_pattern_packing, op8_suffix_dedup, op9_byte_shards)
+    own = (op1_pii_surrogates, op2_sentencepiece_codec, op3_context_tree_scores, op4_warc_bundles, op5_simhash, op6_quality_rules, op7_pattern_packing, op8_suffix_dedup, op9_byte_shards, op10_image_copies)
     return {f.__name__: f for f in own}
 
 
