@@ -1,9 +1,15 @@
 """The registered queries and their SQL."""
 
+from __future__ import annotations
+
+from . import star_queries
+
+TABLES = (star_queries.QUERIES,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for table in TABLES for name, (run, _) in table.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for table in TABLES for name, (_, sql) in table.items() if sql}
