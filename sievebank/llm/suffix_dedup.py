@@ -31,7 +31,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import NULL_ID, persist, shuffle_partitions, text_or_empty
+from .common import NULL_ID, persist, persist_by, shuffle_partitions, text_or_empty
 
 LENGTH = 50
 #: Bytes of an anchor's q-gram; every string of LENGTH bytes holds SPAN of them.
@@ -179,6 +179,25 @@ def refined(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.where(whole, least[inverse.reshape(n, SPAN)], NULL_ID)
 
 
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+
+
+def short(hashes: np.ndarray) -> bytes:
+    """The upper 40 bits of hashes; the lower ones chose the bucket.
+
+    Strings that share them are taken for shared at first, and told apart by their windows.
+    """
+    return np.ascontiguousarray(hashes.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+
+
+def long(data: bytes) -> np.ndarray:
+    """What ``short`` kept, as numbers."""
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
 def blocks_of(docs: DataFrame, id_column: str, text_column: str, extra: list[str], most: int = BLOCK_BYTES) -> DataFrame:
     """Documents packed side by side into blocks, in a table in the shared folder."""
     schema = T.StructType(
@@ -231,7 +250,9 @@ def blocks_of(docs: DataFrame, id_column: str, text_column: str, extra: list[str
         if ids:
             yield done()
 
-    return persist(rows.mapInArrow(run, schema), "blocks")
+    spark = docs.sparkSession
+    # laid out by block, so that answers come to the texts and not the texts to the answers
+    return persist_by(rows.mapInArrow(run, schema), "blocks", "block", max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism))
 
 
 def opened(row: dict) -> Block:
@@ -259,7 +280,7 @@ def cut(docs: DataFrame, id_column: str, text_column: str, extra: list[str], fin
                 many[1:] = ~first[1:] & (d[1:] != d[:-1])
                 at = np.flatnonzero(first)
                 own, twice = h[at], np.logical_or.reduceat(many, at) if len(at) else many
-                to = (own % np.uint64(buckets)).astype(np.int64)
+                to = bucket_of(own, buckets)
                 by = np.argsort(to, kind="stable")
                 edge = np.flatnonzero(np.concatenate([[True], np.diff(to[by]) != 0])) if len(by) else by
                 cuts = np.append(edge, len(by))
@@ -268,17 +289,18 @@ def cut(docs: DataFrame, id_column: str, text_column: str, extra: list[str], fin
                         [
                             pa.array(to[by][edge], pa.int32()),
                             pa.array([row["block"]] * len(edge)),
-                            pa.array([own[by[i:j]].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
-                            pa.array([twice[by[i:j]].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+                            pa.array([short(own[by[i:j]]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+                            pa.array([np.packbits(twice[by[i:j]]).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
                         ],
                         schema=key,
                     )
 
     def shared(table: pa.Table) -> pa.Table:
         """Per block, the q-grams of this bucket that another document holds too."""
-        raw = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        h, twice = np.concatenate(raw), np.concatenate([np.frombuffer(x, bool) for x in table.column("many").to_pylist()])
+        raw = [long(x) for x in table.column("hashes").to_pylist()]
         size = np.array([len(x) for x in raw])
+        bits = zip(table.column("many").to_pylist(), size.tolist(), strict=True)
+        h, twice = np.concatenate(raw), np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in bits])
         order = np.argsort(h, kind="stable")
         s = h[order]
         same = np.zeros(len(s), bool)
@@ -288,7 +310,7 @@ def cut(docs: DataFrame, id_column: str, text_column: str, extra: list[str], fin
         dup[order] = same
         dup |= twice
         ends = np.cumsum(size)
-        out = [h[e - n : e][dup[e - n : e]].tobytes() for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
+        out = [short(h[e - n : e][dup[e - n : e]] << np.uint64(24)) for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
         keep = [k for k, x in enumerate(out) if x]
         return pa.table({"block": table.column("block").combine_chunks().take(pa.array(keep, pa.int64())), "hashes": pa.array([out[k] for k in keep], pa.binary())})
 
@@ -299,23 +321,25 @@ def cut(docs: DataFrame, id_column: str, text_column: str, extra: list[str], fin
     sent = pa.schema([("bucket", pa.int32()), ("block", pa.string()), ("at", pa.binary()), ("windows", pa.binary()), ("ids", pa.binary())])
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for row in batch.to_pylist():
                 b = opened(row)
-                k, group, first, least = distinct_windows(b, np.frombuffer(b"".join(row["hashes"]), np.uint64))
+                k, group, first, least = distinct_windows(b, long(b"".join(row["hashes"])))
                 if not len(first):
                     continue
-                rows, to = b.windows(k[first]), (b.hashes[k[first]] % np.uint64(buckets)).astype(np.int64)
+                rows, to = b.windows(k[first]), bucket_of(b.hashes[k[first]], buckets)
                 for t in np.unique(to).tolist():
                     own = np.flatnonzero(to == t)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([x]) for x in (t, row["block"], own.astype("<i4").tobytes(), rows[own].tobytes(), least[own].tobytes())], names=sent.names
+                        [pa.array([x]) for x in (t, row["block"], *(packer.compress(x.tobytes()) for x in (own.astype("<i4"), rows[own], least[own])))], names=sent.names
                     ).cast(sent)
 
     def answer(table: pa.Table) -> pa.Table:
         """Per block, the smallest ids for the strings of its windows."""
-        rows = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, WINDOW + 2) for x in table.column("windows").to_pylist()])
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
+        plain = zstandard.ZstdDecompressor().decompress
+        rows = np.concatenate([np.frombuffer(plain(x), np.uint8).reshape(-1, WINDOW + 2) for x in table.column("windows").to_pylist()])
+        ids = np.concatenate([np.frombuffer(plain(x), np.int64) for x in table.column("ids").to_pylist()])
         order, group = grouped(rows)
         first = np.flatnonzero(np.diff(group, prepend=-1))
         least = np.minimum.reduceat(ids[order], first)
@@ -338,18 +362,18 @@ def cut(docs: DataFrame, id_column: str, text_column: str, extra: list[str], fin
         of = np.empty(len(rows), np.int64)
         of[order] = group
         flat = (best == best[:, :1]).all(axis=1)
+        packer = zstandard.ZstdCompressor(level=3)
         out_block, out_at, out_one, out_all = [], [], [], []
         done = 0
         for block, at in zip(table.column("block").to_pylist(), table.column("at").to_pylist(), strict=True):
-            n = len(at) // 4
-            own = of[done : done + n]
-            done += n
-            place = np.frombuffer(at, "<i4")
+            place = np.frombuffer(plain(at), "<i4")
+            own = of[done : done + len(place)]
+            done += len(place)
             one = flat[own]
             out_block.append(block)
-            out_at.append(np.concatenate([place[one], place[~one]]).astype("<i4").tobytes())
-            out_one.append(best[own[one], 0].tobytes())
-            out_all.append(best[own[~one]].tobytes())
+            out_at.append(packer.compress(np.concatenate([place[one], place[~one]]).astype("<i4").tobytes()))
+            out_one.append(packer.compress(best[own[one], 0].tobytes()))
+            out_all.append(packer.compress(best[own[~one]].tobytes()))
         return pa.table({"block": out_block, "at": pa.array(out_at, pa.binary()), "one": pa.array(out_one, pa.binary()), "all": pa.array(out_all, pa.binary())})
 
     known = persist(told, "shared-grams")
@@ -364,12 +388,13 @@ def cut(docs: DataFrame, id_column: str, text_column: str, extra: list[str], fin
                 b = opened(row)
                 covered = np.zeros(len(b.data) + 1, np.int32)
                 if row["answers"]:
-                    k, group, first, _ = distinct_windows(b, np.frombuffer(b"".join(row["hashes"]), np.uint64))
+                    k, group, first, _ = distinct_windows(b, long(b"".join(row["hashes"])))
                     best = np.full((len(first), SPAN), NULL_ID)
+                    plain = zstandard.ZstdDecompressor().decompress
                     for a in row["answers"]:
-                        at, one = np.frombuffer(a["at"], "<i4"), np.frombuffer(a["one"], np.int64)
+                        at, one = np.frombuffer(plain(a["at"]), "<i4"), np.frombuffer(plain(a["one"]), np.int64)
                         best[at[: len(one)]] = one[:, None]
-                        best[at[len(one) :]] = np.frombuffer(a["all"], np.int64).reshape(-1, SPAN)
+                        best[at[len(one) :]] = np.frombuffer(plain(a["all"]), np.int64).reshape(-1, SPAN)
                     own = b.ids[b.owner[k]]
                     item, column = np.nonzero(best[group] < own[:, None])
                     start = b.places[k[item]] - SIDE + column
@@ -383,7 +408,7 @@ def cut(docs: DataFrame, id_column: str, text_column: str, extra: list[str], fin
 
 def distinct_windows(b: Block, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The anchors of shared q-grams, each one's window's number, and of each window its first anchor (as an index of the former) and smallest id."""
-    k = np.flatnonzero(np.isin(b.hashes, shared))
+    k = np.flatnonzero(np.isin(b.hashes >> np.uint64(24), shared))
     if not len(k):
         return k, k, k, k
     order, group = grouped(b.windows(k))
