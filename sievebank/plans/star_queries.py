@@ -92,7 +92,7 @@ def _post(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _post_list(spark: SparkSession, d: str) -> DataFrame:
-    out = li.post_list(b.posts(spark, d), b.occurrences(spark, d), b.questions(spark, d, False), Filter(company="FRANCE", date_from="1996-01-01"))
+    out = li.post_list(b.posts(spark, d), b.occurrences(spark, d), b.questions(spark, d, False), Filter(company="NATION_3", date_from="1996-01-01"))
     return out.select("id", "company", "round_group", "posted_at")
 
 
@@ -139,7 +139,7 @@ QUERIES = {
     "list_page_2": (_list(Filter(page=2, size=30)), list_sql(NOT_NOISE, BY_N, 30, 30)),
     "list_by_companies": (_list(Filter(sort="co")), list_sql(NOT_NOISE, BY_CO)),
     "list_by_priority": (_list(Filter(sort="priority", include_noise=True)), list_sql("true", BY_PRIORITY)),
-    "list_in_range": (_list(Filter(date_from="1996-01-01", date_to="1997-12-31", company="FRANCE", job_group="BUILDING")), list_sql(f"{NOT_NOISE} AND {IN_RANGE} AND company = 'FRANCE' AND job_group = 'BUILDING'", BY_N)),
+    "list_in_range": (_list(Filter(date_from="1996-01-01", date_to="1997-12-31", company="NATION_3", job_group="BUILDING")), list_sql(f"{NOT_NOISE} AND {IN_RANGE} AND company = 'NATION_3' AND job_group = 'BUILDING'", BY_N)),
     "list_with_answer": (_list(Filter(has_answer=True, only_labeled=True, category="Brand#12")), list_sql(f"{NOT_NOISE} AND llm_cat <> '' AND answer IS NOT NULL AND category = 'Brand#12'", BY_N)),
     "list_official": (_list(Filter(official_only=True, round_group="1-URGENT", size=500)), list_sql(f"{NOT_NOISE} AND round_group = '1-URGENT' AND id IN (SELECT question_id FROM occ WHERE official = 1)", BY_N, 500)),
     "list_keyword": (_list(Filter(keyword=" LINE 7 ", size=200), True), list_sql(f"{NOT_NOISE} AND (contains(lower(canonical), 'line 7') OR id IN (SELECT question_id FROM variants WHERE contains(lower(text), 'line 7')))", BY_N, 200)),
@@ -201,7 +201,7 @@ SELECT question_id, n, least(6, (SELECT count(*) FROM occ o WHERE o.question_id
     "post_detail": (_post, f"{STAR} SELECT id, company, job_group, round_group FROM posts WHERE id = 7"),
     "post_list": (
         _post_list,
-        f"{STAR} SELECT id, company, round_group, posted_at FROM posts WHERE company = 'FRANCE' AND posted_date >= DATE '1996-01-01' AND id IN (SELECT post_id FROM star WHERE {NOT_NOISE}) ORDER BY posted_at DESC, id LIMIT 50",
+        f"{STAR} SELECT id, company, round_group, posted_at FROM posts WHERE company = 'NATION_3' AND posted_date >= DATE '1996-01-01' AND id IN (SELECT post_id FROM star WHERE {NOT_NOISE}) ORDER BY posted_at DESC, id LIMIT 50",
     ),
     "recount": (_recount, f"{STAR} SELECT id, (SELECT count(*) FROM occ WHERE question_id = questions.id) AS n, co_n FROM questions"),
     "prune_posts": (_pruned, f"{STAR} SELECT id FROM posts WHERE id IN (SELECT post_id FROM occ WHERE question_id % 3 = 0)"),
