@@ -10,7 +10,9 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: ASCII white space, the only separators between words in this subpackage.
@@ -141,3 +143,15 @@ def persist_by(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
     writer = df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(df.sparkSession)}/{name}")
     writer.bucketBy(buckets, key).saveAsTable(name)
     return df.sparkSession.table(name)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Numbers as compressed bytes: first bytes together, then second ones, as neighbours are alike there."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize)
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes.T).tobytes())
+
+
+def unpack(data: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()

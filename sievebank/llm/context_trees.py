@@ -24,14 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import persist, shuffle_partitions
+from .common import pack, persist, shuffle_partitions, unpack
 from .suffix_dedup import blocks_of
 
-DEPTH = 7
+DEPTH = 6
 FOLDS, HELD_OUT = 7, 2
-BLOCK = 8 << 20
+BLOCK = 16 << 20
 BEFORE, END = 0xFF, 0xFE  # in no UTF-8 text
 #: A base token that no text can hold.
 END_TOKEN = b"\xfe"
@@ -129,22 +130,59 @@ def mixed(a: np.ndarray, b: np.ndarray, weight: np.ndarray, sums: np.ndarray, re
     return np.where(seen, sums + rest * weight * own, final), np.where(seen, rest * (1 - weight), 0.0), end
 
 
-def strings(data: np.ndarray, sizes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The key of each byte and end of the documents, and where each document's keys begin."""
-    n = len(sizes)
-    padded = np.full(len(data) + n * (depth + 1), BEFORE, np.uint8)
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    shift = np.arange(n) * (depth + 1) + depth
-    at = np.arange(len(data)) + np.repeat(shift, sizes)
-    padded[at] = data
-    last = ends + shift
-    padded[last] = END
-    place = np.sort(np.concatenate([at, last]))
-    key = np.zeros(len(place), np.uint64)
-    for k in range(1, depth + 1):
-        key = key << np.uint64(8) | padded[place - k]
-    return key << np.uint64(8) | padded[place], starts + np.arange(n)
+class Strings:
+    """The strings of ``depth + 1`` bytes that end at each byte and at the end of each document.
+
+    They are made and looked up piece by piece, so a block takes little more memory than its bytes.
+    """
+
+    def __init__(self, data: np.ndarray, sizes: np.ndarray, depth: int):
+        n = len(sizes)
+        ends = np.cumsum(sizes)
+        self.depth = depth
+        #: Each document has ``depth`` bytes before it and one behind it.
+        self.bytes = np.full(len(data) + n * (depth + 1), BEFORE, np.uint8)
+        self.wanted = np.zeros(len(self.bytes), bool)
+        begin = ends - sizes + np.arange(n) * (depth + 1) + depth
+        for i, j, size in zip(begin.tolist(), (ends - sizes).tolist(), sizes.tolist(), strict=True):
+            self.bytes[i : i + size] = data[j : j + size]
+            self.bytes[i + size] = END
+            self.wanted[i : i + size + 1] = True
+        self.first = ends - sizes + np.arange(n)
+        self.count = len(data) + n
+
+    def pieces(self, size: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Keys, nearest context byte first and the byte last, and where they stand in ``bytes``."""
+        depth = self.depth
+        for lo in range(depth, len(self.bytes), size):
+            hi = min(len(self.bytes), lo + size)
+            key = np.zeros(hi - lo, np.uint64)
+            for k in range(1, depth + 1):
+                key = key << np.uint64(8) | self.bytes[lo - k : hi - k]
+            key = key << np.uint64(8) | self.bytes[lo:hi]
+            at = np.flatnonzero(self.wanted[lo:hi])
+            yield key[at], at + lo
+
+    def distinct(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys, and how often each stands in the documents marked in ``train``."""
+        marks = np.repeat(train, np.diff(np.append(self.first, self.count)))
+        keys, counts, done = [], [], 0
+        for key, _ in self.pieces():
+            own, of = np.unique(key, return_inverse=True)
+            keys.append(own)
+            counts.append(np.bincount(of, marks[done : done + len(key)], len(own)))
+            done += len(key)
+        own, of = np.unique(np.concatenate(keys), return_inverse=True)
+        return own, np.bincount(of, np.concatenate(counts), len(own)).astype(np.int64)
+
+    def keys(self) -> np.ndarray:
+        """All distinct keys."""
+        return np.unique(np.concatenate([np.unique(k) for k, _ in self.pieces()]))
+
+    def sums(self, keys: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The values of each document's strings, added up."""
+        found = np.concatenate([value[np.searchsorted(keys, k)] for k, _ in self.pieces()])
+        return np.add.reduceat(found, self.first)
 
 
 def group_of(key: np.ndarray, depth: int, groups: int) -> np.ndarray:
@@ -158,8 +196,6 @@ class Texts:
     """A block's documents."""
 
     def __init__(self, row: dict):
-        import zstandard
-
         self.raw = zstandard.ZstdDecompressor().decompress(row["payload"], max_output_size=max(1, sum(row["sizes"])))
         self.data = np.frombuffer(self.raw, np.uint8)
         self.sizes = np.array(row["sizes"], np.int64)
@@ -196,13 +232,13 @@ def asked(block: str, group: np.ndarray, what, n: np.ndarray) -> Iterator[pa.Rec
     rows = []
     for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True):
         own = order[i:j]
-        rows.append({"g": int(group[own[0]]), "block": block, "at": own.astype("<i4").tobytes(), "what": what(own), "n": n[own].tobytes()})
+        rows.append({"g": int(group[own[0]]), "block": block, "at": pack(own.astype("<i4")), "what": what(own), "n": pack(n[own])})
     if rows:
         yield pa.RecordBatch.from_pylist(rows, ASKED)
 
 
 def gathered(table: pa.Table) -> tuple[list[bytes], np.ndarray, list[int]]:
-    n = [np.frombuffer(x, np.int64) for x in table.column("n").to_pylist()]
+    n = [unpack(x, np.int64) for x in table.column("n").to_pylist()]
     return table.column("what").to_pylist(), np.concatenate(n), [len(x) for x in n]
 
 
@@ -222,30 +258,27 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         for batch in batches:
             for row in batch.to_pylist():
                 t = Texts(row)
-                key, first = strings(t.data, t.sizes, depth)
-                train = np.repeat(~t.held, t.sizes + 1)
-                distinct = np.unique(key)
-                seen, counts = np.unique(key[train], return_counts=True)
-                n = np.zeros(len(distinct), np.int64)
-                n[np.searchsorted(distinct, seen)] = counts
-                yield from asked(row["block"], group_of(distinct, depth, groups), lambda own, d=distinct: d[own].tobytes(), n)
+                distinct, n = Strings(t.data, t.sizes, depth).distinct(~t.held)
+                yield from asked(row["block"], group_of(distinct, depth, groups), lambda own, d=distinct: pack(d[own]), n)
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for row in batch.to_pylist():
                 words, n = Texts(row).vocabulary()
                 to = np.fromiter((zlib.crc32(w) % groups for w in words), np.int64, len(words))
-                yield from asked(row["block"], to, lambda own, w=words: b"\n".join([w[k] for k in own.tolist()]), n)
+                yield from asked(row["block"], to, lambda own, w=words: packer.compress(b"\n".join([w[k] for k in own.tolist()])), n)
 
     def count_words(table: pa.Table) -> pa.Table:
         what, n, sizes = gathered(table)
         counts: dict[bytes, int] = {}
-        parts = [x.split(b"\n") for x in what]
+        plain = zstandard.ZstdDecompressor().decompress
+        parts = [plain(x).split(b"\n") for x in what]
         values = iter(n.tolist())
         for part in parts:
             for w in part:
                 counts[w] = counts.get(w, 0) + next(values)
-        answers = [np.array([counts[w] for w in part], np.int64).tobytes() for part in parts]
+        answers = [pack(np.array([counts[w] for w in part], np.int64)) for part in parts]
         known = sum(c > 0 for c in counts.values())
         extra = [known] + [0] * (len(parts) - 1), [sum(counts.values())] + [0] * (len(parts) - 1)
         return pa.table({"block": table.column("block"), "at": table.column("at"), "n": pa.array(answers, pa.binary()), "known": extra[0], "tokens": extra[1]})
@@ -266,7 +299,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
     def sums(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         what, n, _ = gathered(table)
-        raw = [np.frombuffer(x, np.uint64) for x in what]
+        raw = [unpack(x, np.uint64) for x in what]
         key, of = np.unique(np.concatenate(raw), return_inverse=True)
         return key, np.bincount(of, n, len(key)), raw
 
@@ -296,7 +329,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             ids = bits.levels[top][0]
             at = np.searchsorted(node, ((ids >> np.uint64(16)) << np.uint64(8) | (ids & np.uint64(0xFF))).astype(np.int64))
             logs += np.log(bits.chances(sums_[at], rest[at], final[at], top, depth))
-        answers = [logs[np.searchsorted(key, x)].tobytes() for x in raw]
+        answers = [pack(logs[np.searchsorted(key, x)].astype(np.float32)) for x in raw]
         return pa.table({"block": data.column("block"), "at": data.column("at"), "log": pa.array(answers, pa.binary())})
 
     logs = tallies.groupBy("g").applyInArrow(downwards, "block string, at binary, log binary")
@@ -308,17 +341,17 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         for batch in batches:
             for row in batch.to_pylist():
                 t = Texts(row)
-                key, first = strings(t.data, t.sizes, depth)
-                distinct = np.unique(key)
+                strings = Strings(t.data, t.sizes, depth)
+                distinct = strings.keys()
                 value = np.zeros(len(distinct))
                 for x in row["logs"] or ():
-                    value[np.frombuffer(x["at"], "<i4")] = np.frombuffer(x["log"], np.float64)
-                scores = np.add.reduceat(value[np.searchsorted(distinct, key)], first) / math.log(10)
-                del key, distinct, value
+                    value[unpack(x["at"], "<i4")] = unpack(x["log"], np.float32)
+                scores = strings.sums(distinct, value) / math.log(10)
+                del strings, distinct, value
                 order, _ = t.vocabulary()
                 n = np.zeros(len(order), np.int64)
                 for x in row["counts"] or ():
-                    n[np.frombuffer(x["at"], "<i4")] = np.frombuffer(x["n"], np.int64)
+                    n[unpack(x["at"], "<i4")] = unpack(x["n"], np.int64)
                 number = {w: k for k, w in enumerate(order)}
                 gain, known = np.log10(n + 1.0), n > 0
                 out = []
