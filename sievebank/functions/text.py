@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from . import rules as R
 from .regex import any_of, count, found, group, replaced, trim
@@ -16,7 +16,7 @@ def clip(text: Column, n: int) -> Column:
     return F.left(text, F.lit(n))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_all(text: pd.Series) -> pd.Series:
     """Every HTML entity, the rare ones too; Spark has no function for it."""
     import html
