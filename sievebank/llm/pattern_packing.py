@@ -183,18 +183,27 @@ def fit(histogram: np.ndarray, found: np.ndarray, steps: int = 200) -> np.ndarra
 
 
 def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences as lists of lengths, with their repeat counts, that use up the histogram."""
-    left = histogram.astype(np.int64).copy()
-    found = patterns(np.flatnonzero(left[1:]) + 1, capacity)
-    counts = fit(left, found)
+    """Sequences as lists of lengths, with their repeat counts, that use up the histogram.
+
+    Fitted counts are rounded to the nearest number and, again, downwards; the rounding that
+    ends in fewer sequences stands.
+    """
+    found = patterns(np.flatnonzero(histogram[1:]) + 1, capacity)
+    counts = fit(histogram, found)
+    ways = [rounded(histogram, found, counts, up, capacity) for up in (True, False)]
+    return min(ways, key=lambda way: sum(times for _, times in way))
+
+
+def rounded(histogram: np.ndarray, found: np.ndarray, counts: np.ndarray, up: bool, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns repeated by their rounded counts, largest first, as far as the histogram holds out, and the rest by best fit."""
     out: list[tuple[tuple[int, ...], int]] = []
-    have = left.tolist()
+    have = histogram.astype(np.int64).tolist()
     for k in np.argsort(-counts, kind="stable").tolist():
-        if counts[k] < 0.05:
+        if counts[k] < (0.05 if up else 1.0):
             break
         own = tuple(x for x in found[k].tolist() if x)
         most = min(have[x] // own.count(x) for x in own)
-        times = min(most, max(1, round(float(counts[k]))))
+        times = min(most, max(1, round(float(counts[k]))) if up else int(counts[k]))
         if times > 0:
             for x in own:
                 have[x] -= times
