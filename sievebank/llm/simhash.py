@@ -236,17 +236,16 @@ def component_roots(items: DataFrame, words: int, bands: list[tuple[int, int]],
         raise ValueError("bands take at most 48 bits")
     keys = F.array(*[(F.lit(k).cast("long") * F.lit(1 << 48) + band(*b)) for k, b in enumerate(bands)])
     rows = items.select("node", F.slice("sig", sketch_from + 1, words - sketch_from).alias("sketch"), F.explode(keys).alias("key"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sizes = persist(sizes, "buckets")
-    total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
     blocks = F.ceil(F.col("n") / TILE).cast("int")
-    # written above, so that both sides are dealt anew and a hot bucket can be split
-    met = rows.join(sizes.select(F.col("key").alias("of"), blocks.alias("blocks")), F.col("key") == F.col("of"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE)
+    # a table of its own, so that Spark knows its size: a small one spares dealing out the rows
+    large = persist(sizes.select(F.col("key").alias("of"), blocks.alias("blocks")), "large-buckets")
+    met = rows.join(large, F.col("key") == F.col("of"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     met = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tiles = met.select("node", "sketch", "key", "block", other).withColumn("cross", F.col("other") != F.col("block"))
     tile = F.struct(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    groups = max(shuffle_partitions(spark), total // 50_000)
+    groups = max(shuffle_partitions(spark), items.count() * len(bands) // 50_000)
     tiles = tiles.withColumn("tile", F.xxhash64("key", tile)).withColumn("g", F.pmod(F.col("tile"), F.lit(groups)))
     wide = words - sketch_from
 
