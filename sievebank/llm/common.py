@@ -121,8 +121,8 @@ def no_collector():
             gc.enable()
 
 
-def portions(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbouring texts of about ``most`` characters, or of one longer text."""
+def portions(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts of about ``most`` characters or bytes, or of one longer text."""
     begin = size = 0
     for k, t in enumerate(texts):
         if size and size + len(t) > most:

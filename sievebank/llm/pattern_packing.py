@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -30,7 +31,8 @@ from .common import Memory, no_collector, persist, portions, text_or_empty, toke
 CAPACITY = 2048
 END_ID = 0
 
-LETTERS_AND_MARKS = re.compile(rb"([A-Za-z]+)([.,;:!?|()\-]*)")
+#: Letters of Latin-1 in UTF-8, then ASCII punctuation.
+LETTERS_AND_MARKS = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?|()\-]*)")
 
 PIECES = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "rank")]
@@ -53,8 +55,9 @@ class ChunkTokenizer:
     """A ``tokenizers`` model that remembers the ids of chunks between ASCII white space.
 
     Its normalizer and its splitter work inside such chunks, so a text's ids are its
-    chunks' ids in a row. They also part letters from punctuation, so a chunk of ASCII
-    letters with punctuation behind it is put together from the two.
+    chunks' ids in a row. They also part letters from punctuation, so a chunk of letters
+    with punctuation behind it is put together from the two.  New words of letters go to the
+    model many at a time, side by side: each ends in a token that only ends words.
     """
 
     def __init__(self, path: str):
@@ -62,40 +65,69 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.memory = Memory()
+        suffix = json.loads(self.model.to_str())["model"].get("end_of_word_suffix")
+        size = self.model.get_vocab_size()
+        self.ends = np.array([bool(suffix) and (self.model.id_to_token(i) or "").endswith(suffix) for i in range(size)])
+        self.memory = Memory(700_000)
+
+    def _each(self, chunks: list[bytes]) -> Iterator[bytes]:
+        """The ids of each chunk by itself."""
+        for e in self.model.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False):
+            yield np.array(e.ids, "<u4").tobytes()
+
+    def _words(self, words: list[bytes], at_once: int = 1000) -> Iterator[bytes]:
+        """The ids of words of letters."""
+        lines = [words[k : k + at_once] for k in range(0, len(words), at_once)]
+        for own, e in zip(lines, self.model.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) != len(own) or ends[-1] != 4 * len(ids):
+                yield from self._each(own)
+                continue
+            raw = ids.tobytes()
+            yield from (raw[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True))
 
     def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of chunks."""
-        parts, wanted, known = {}, set(), {}
+        """The ids of chunks, and of the words and marks that they are made of."""
+        young, old, known, parts, words, rest = self.memory.young, self.memory.old, {}, [], set(), set()
+        match = LETTERS_AND_MARKS.fullmatch
         for c in chunks:
-            m = LETTERS_AND_MARKS.fullmatch(c)
-            parts[c] = own = [x for x in m.groups() if x] if m else [c]
-            if m:
-                own[0] = own[0].lower()
-            for x in own:
-                if x not in known:
-                    got = self.memory.young.get(x) or self.memory.old.get(x)
+            m = match(c)
+            if not m:
+                rest.add(c)
+                continue
+            word, marks = m.groups()
+            word = word.lower()
+            if word != c:
+                parts.append((c, word, marks))
+            for x, to in ((word, words), (marks, rest)):
+                if x and x not in known:
+                    got = young.get(x) or old.get(x)
                     if got is None:
-                        wanted.add(x)
+                        to.add(x)
                     else:
                         known[x] = got
-        order = list(wanted)
-        for x, e in zip(order, self.model.encode_batch_fast([c.decode() for c in order], add_special_tokens=False), strict=True):
-            known[x] = np.array(e.ids, "<u4").tobytes()
-        return {c: known[xs[0]] if len(xs) == 1 else known[xs[0]] + known[xs[1]] for c, xs in parts.items()} | {x: known[x] for x in order}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        known, missing, found = self.memory.young, set(), []
-        cut = [t.encode("utf-8", "replace").split() for t in texts]  # bytes split at ASCII white space only
+        for wanted, ids_of in ((list(words), self._words), (list(rest), self._each)):
+            known.update(zip(wanted, ids_of(wanted), strict=True))
+        known[b""] = b""
+        known.update([(c, known[w] + known[m]) for c, w, m in parts])
+        del known[b""]
+        return known
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text in UTF-8 as little-endian unsigned 32-bit numbers."""
+        cut = [t.split() for t in texts]  # bytes split at ASCII white space only
+        asked: set[bytes] = set()
         for chunks in cut:
-            found.append(got := list(map(known.get, chunks)))
-            if None in got:
-                missing.update([c for c, g in zip(chunks, got, strict=True) if g is None])
-        if missing:
+            asked.update(chunks)
+        missing = asked.difference(self.memory.young)
+        if not missing:
+            get = self.memory.young.__getitem__
+        else:
+            had = self.memory.young
             new = self.memory.fill(missing, self.learn)
-            found = [[new[c] if g is None else g for c, g in zip(cs, gs, strict=True)] if None in gs else gs for cs, gs in zip(cut, found, strict=True)]
-        return [b"".join(f) for f in found]
+            get = self.memory.young.__getitem__ if self.memory.young.keys() >= asked else ({c: had[c] for c in asked if c in had} | new).__getitem__
+        return [b"".join(map(get, chunks)) for chunks in cut]
 
 
 @lru_cache(maxsize=2)
@@ -114,7 +146,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, id_column: str, te
         model, part, seen = chunk_tokenizer(tokenizer_file(tokenizer)), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             out: list[tuple] = []
-            texts, encoded = batch.column(1).to_pylist(), []
+            texts, encoded = batch.column(1).cast(pa.binary()).to_pylist(), []
             for i, j in portions(texts):
                 with no_collector():
                     encoded += model.ids(texts[i:j])

@@ -89,7 +89,7 @@ class PrefixTable:
                 self.singles[ord(p)] = i
         self._trie()
         self.numbers = list(range(self.n))
-        self.memory = Memory()
+        self.memory = Memory(450_000)
         self.touching = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         self.cuts = self._cuts()
         letter = re.compile(LETTER)
