@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.snapshot import kept
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str, sticky: tuple[str, ...] = ()) -> DataFrame:
     """The newest row of each key; a blank in a ``sticky`` column does not displace what was there."""
@@ -36,7 +38,8 @@ def stratified(rows: DataFrame, stratum: str, key: str, n: int, seed: int = 2026
 
 def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
     """``number`` from 0 in a total order, without one task for all rows: ranges are counted first."""
-    dealt = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    # written, as the bounds of ranges may differ when they are drawn again
+    dealt = kept(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     local = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # one row for each partition
