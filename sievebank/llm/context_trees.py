@@ -166,23 +166,38 @@ class Strings:
     def distinct(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys, and how often each stands in the documents marked in ``train``."""
         marks = np.repeat(train, np.diff(np.append(self.first, self.count)))
-        keys, counts, done = [], [], 0
+        runs, rest, done = [], [], 0
         for key, _ in self.pieces():
-            own, of = np.unique(key, return_inverse=True)
-            keys.append(own)
-            counts.append(np.bincount(of, marks[done : done + len(key)], len(own)))
+            own = marks[done : done + len(key)]
+            runs.append(counted(key[own]))
+            rest.append(counted(key[~own])[0])
             done += len(key)
-        own, of = np.unique(np.concatenate(keys), return_inverse=True)
-        return own, np.bincount(of, np.concatenate(counts), len(own)).astype(np.int64)
+        keys = counted(np.concatenate([k for k, _ in runs] + rest))[0]
+        counts = np.zeros(len(keys), np.int64)
+        for k, n in runs:
+            counts[np.searchsorted(keys, k)] += n
+        return keys, counts
 
     def keys(self) -> np.ndarray:
         """All distinct keys."""
-        return np.unique(np.concatenate([np.unique(k) for k, _ in self.pieces()]))
+        return counted(np.concatenate([counted(k)[0] for k, _ in self.pieces()]))[0]
 
     def sums(self, keys: np.ndarray, value: np.ndarray) -> np.ndarray:
         """The values of each document's strings, added up."""
-        found = np.concatenate([value[np.searchsorted(keys, k)] for k, _ in self.pieces()])
-        return np.add.reduceat(found, self.first)
+        found = []
+        for key, _ in self.pieces():
+            order = np.argsort(key)  # neighbours in order are neighbours in ``keys``
+            own = np.empty(len(key))
+            own[order] = value[np.searchsorted(keys, key[order])]
+            found.append(own)
+        return np.add.reduceat(np.concatenate(found), self.first)
+
+
+def counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order, and how often each stands there."""
+    key = np.sort(key)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.diff(np.append(first, len(key)))
 
 
 def group_of(key: np.ndarray, depth: int, groups: int) -> np.ndarray:
