@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from .suffix_dedup import blocks_of
 
 DEPTH = 6
 FOLDS, HELD_OUT = 7, 2
-BLOCK = 16 << 20
+BLOCK = 12 << 20
 BEFORE, END = 0xFF, 0xFE  # in no UTF-8 text
 #: A base token that no text can hold.
 END_TOKEN = b"\xfe"
@@ -184,13 +185,17 @@ class Strings:
 
     def sums(self, keys: np.ndarray, value: np.ndarray) -> np.ndarray:
         """The values of each document's strings, added up."""
-        found = []
+        out, done = np.zeros(len(self.first)), 0
         for key, _ in self.pieces():
             order = np.argsort(key)  # neighbours in order are neighbours in ``keys``
             own = np.empty(len(key))
             own[order] = value[np.searchsorted(keys, key[order])]
-            found.append(own)
-        return np.add.reduceat(np.concatenate(found), self.first)
+            if len(own):
+                lo = np.searchsorted(self.first, done, "right") - 1
+                hi = np.searchsorted(self.first, done + len(own), "left")
+                out[lo:hi] += np.add.reduceat(own, np.maximum(self.first[lo:hi], done) - done)
+            done += len(own)
+        return out
 
 
 def counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,16 +229,18 @@ class Texts:
 
     def vocabulary(self) -> tuple[list[bytes], np.ndarray]:
         """Distinct words in order, and how often training documents hold each."""
-        counts: dict[bytes, int] = {}
+        counts: Counter[bytes] = Counter()
         for own, held in zip(self.words(), self.held.tolist(), strict=True):
-            if held:
-                for w in own:
-                    counts.setdefault(w, 0)
-            else:
-                for w in own:
-                    counts[w] = counts.get(w, 0) + 1
-        order = sorted(counts)
-        return order, np.array([counts[w] for w in order], np.int64)
+            if not held:
+                counts.update(own)
+        order = self.distinct_words()
+        return order, np.fromiter(map(counts.__getitem__, order), np.int64, len(order))
+
+    def distinct_words(self) -> list[bytes]:
+        found: set[bytes] = set()
+        for own in self.words():
+            found.update(own)
+        return sorted(found)
 
 
 ASKED = pa.schema([("g", pa.int32()), ("block", pa.string()), ("at", pa.binary()), ("what", pa.binary()), ("n", pa.binary())])
@@ -363,7 +370,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                     value[unpack(x["at"], "<i4")] = unpack(x["log"], np.float32)
                 scores = strings.sums(distinct, value) / math.log(10)
                 del strings, distinct, value
-                order, _ = t.vocabulary()
+                order = t.distinct_words()
                 n = np.zeros(len(order), np.int64)
                 for x in row["counts"] or ():
                     n[unpack(x["at"], "<i4")] = unpack(x["n"], np.int64)
