@@ -7,7 +7,8 @@ outcome to bitwise counters with carry-save additions.  The counters start so th
 the radius carries out of the top; a block whose 64 members have all passed it is abandoned.
 
 With radius ``r`` and ``r + 1`` bands that tile the fingerprint no pair is lost.  The longer
-signatures of ``signatures`` have many bands, and lose a pair with a known small chance.
+signatures of ``keep_one`` have many bands, and lose a pair with a known small chance; they
+propose pairs, which the sets of shingles decide.
 
 Only spanning links leave a bucket, never all its pairs.  Buckets over ``TILE`` members are
 cut into blocks, and pairs of blocks go to different tasks.
@@ -174,14 +175,33 @@ def spanning(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         label = new
 
 
-def links_in(ids: np.ndarray, key: np.ndarray, block: np.ndarray, cross: np.ndarray, sketch: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links between members of equal key.
+def forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the pairs ``a``, ``b`` that span the components of ``n`` members, near ones first (Boruvka's rounds)."""
+    order = np.argsort(far, kind="stable")
+    a, b, far = a[order], b[order], far[order]
+    label, live, kept = np.arange(n), np.arange(len(a)), []
+    while True:
+        x, y = label[a[live]], label[b[live]]
+        apart = x != y
+        live, x, y = live[apart], x[apart], y[apart]
+        if not len(live):
+            break
+        best = np.full(n, len(a))
+        np.minimum.at(best, x, live)
+        np.minimum.at(best, y, live)
+        take = np.unique(best[best < len(a)])
+        kept.append(take)
+        label = spanning(n, [(label[a[take]], label[b[take]])])[label]
+    own = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+    return a[own], b[own], far[own]
+
+
+def pairs_in(key: np.ndarray, block: np.ndarray, cross: np.ndarray, sketch: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Portions of the pairs within the radius between members of equal key; all is sorted by key and block.
 
     Where ``cross`` holds, only members of different blocks are compared: the tile is one of
     two blocks of a large bucket.
     """
-    order = np.lexsort((block, key))
-    ids, key, block, cross, sketch = ids[order], key[order], block[order], cross[order], sketch[order]
     first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
     size = np.diff(np.append(first, len(key)))
     bucket_end = np.searchsorted(key, key[first], "right")
@@ -198,9 +218,7 @@ def links_in(ids: np.ndarray, key: np.ndarray, block: np.ndarray, cross: np.ndar
             queries_of.append(met)
             words_of.append(np.full(len(met), len(lanes)))
             lanes.append(np.pad(own, (0, 64 - len(own)), constant_values=-1))
-    if not lanes:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    found, at, n = [], 0, len(lanes)
+    at, n = 0, len(lanes)
     counts = np.cumsum([len(q) for q in queries_of])
     limit = max(64, (8 << 20) // (8 * sketch.shape[1] * 8))
     while at < n:  # as many words as their planes take a few MB
@@ -210,19 +228,36 @@ def links_in(ids: np.ndarray, key: np.ndarray, block: np.ndarray, cross: np.ndar
         for k in range(0, len(q), 8 * ITEMS):
             a, b = near(sketch, q[k : k + 8 * ITEMS], w[k : k + 8 * ITEMS], held, radius)
             off = a != b
-            found.append((a[off], b[off]))
+            yield a[off], b[off]
         at = to
-    label = spanning(len(ids), found)
+
+
+def links_in(ids: np.ndarray, key: np.ndarray, block: np.ndarray, cross: np.ndarray, sketch: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links between members of equal key."""
+    order = np.lexsort((block, key))
+    ids = ids[order]
+    label = spanning(len(ids), list(pairs_in(key[order], block[order], cross[order], sketch[order], radius)))
     own = np.flatnonzero(label != np.arange(len(label)))
     return ids[own], ids[label[own]]
 
 
-def component_roots(items: DataFrame, words: int, bands: list[tuple[int, int]], sketch_from: int, radius: int) -> DataFrame:
-    """``node`` and ``root`` for the items (``node`` long, ``sig`` longs) linked to another.
-
-    ``bands`` are (first bit, bits) in the signature; items that share one are compared on
-    the signature from word ``sketch_from`` on.
-    """
+def candidates_in(ids: np.ndarray, part: np.ndarray, key: np.ndarray, block: np.ndarray, cross: np.ndarray, sketch: np.ndarray, radius: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different parts within the radius, the smaller id first: all of them, or near ones that span the components."""
+    order = np.lexsort((block, key))
+    ids, part, sketch = ids[order], part[order], sketch[order]
+    a = b = far = np.zeros(0, np.int64)
+    for x, y in pairs_in(key[order], block[order], cross[order], sketch, radius):
+        apart = part[x] != part[y]
+        x, y = x[apart], y[apart]
+        far = np.concatenate([far, np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)])
+        a, b = np.concatenate([a, x]), np.concatenate([b, y])
+        if not every:
+            a, b, far = forest(len(ids), a, b, far)
+    return np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+
+
+def tiles_of(items: DataFrame, words: int, bands: list[tuple[int, int]], sketch_from: int) -> DataFrame:
+    """The items once for each band and tile that they are compared in, with a group ``g`` of tiles."""
     spark = items.sparkSession
 
     def band(first: int, bits: int):
@@ -235,7 +270,7 @@ def component_roots(items: DataFrame, words: int, bands: list[tuple[int, int]],
     if max(b for _, b in bands) > 48:
         raise ValueError("bands take at most 48 bits")
     keys = F.array(*[(F.lit(k).cast("long") * F.lit(1 << 48) + band(*b)) for k, b in enumerate(bands)])
-    rows = items.select("node", F.slice("sig", sketch_from + 1, words - sketch_from).alias("sketch"), F.explode(keys).alias("key"))
+    rows = items.select("node", "part", F.slice("sig", sketch_from + 1, words - sketch_from).alias("sketch"), F.explode(keys).alias("key"))
     blocks = F.ceil(F.col("n") / TILE).cast("int")
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE)
     # a table of its own, so that Spark knows its size: a small one spares dealing out the rows
@@ -243,10 +278,19 @@ def component_roots(items: DataFrame, words: int, bands: list[tuple[int, int]],
     met = rows.join(large, F.col("key") == F.col("of"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     met = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tiles = met.select("node", "sketch", "key", "block", other).withColumn("cross", F.col("other") != F.col("block"))
+    tiles = met.select("node", "part", "sketch", "key", "block", other).withColumn("cross", F.col("other") != F.col("block"))
     tile = F.struct(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     groups = max(shuffle_partitions(spark), items.count() * len(bands) // 50_000)
     tiles = tiles.withColumn("tile", F.xxhash64("key", tile)).withColumn("g", F.pmod(F.col("tile"), F.lit(groups)))
+    return tiles.select("g", "node", "part", "tile", "block", "cross", "sketch")
+
+
+def component_roots(items: DataFrame, words: int, bands: list[tuple[int, int]], sketch_from: int, radius: int) -> DataFrame:
+    """``node`` and ``root`` for the items (``node`` long, ``sig`` longs) linked to another.
+
+    ``bands`` are (first bit, bits) in the signature; items that share one are compared on
+    the signature from word ``sketch_from`` on.
+    """
     wide = words - sketch_from
 
     def compare(table: pa.Table) -> pa.Table:
@@ -257,8 +301,23 @@ def component_roots(items: DataFrame, words: int, bands: list[tuple[int, int]],
         )
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    edges = tiles.select("g", "node", "tile", "block", "cross", "sketch").groupBy("g").applyInArrow(compare, "u long, v long")
-    return connected(edges)
+    tiles = tiles_of(items.withColumn("part", F.col("node")), words, bands, sketch_from).drop("part")
+    return connected(tiles.groupBy("g").applyInArrow(compare, "u long, v long"))
+
+
+def candidates(items: DataFrame, words: int, bands: list[tuple[int, int]], sketch_from: int, radius: int, every: bool) -> DataFrame:
+    """Distinct pairs ``u`` < ``v`` of items of different ``part`` that ``candidates_in`` finds in the tiles."""
+    wide = words - sketch_from
+
+    def compare(table: pa.Table) -> pa.Table:
+        get = {n: table.column(n).combine_chunks() for n in ("node", "part", "tile", "block", "cross", "sketch")}
+        sketch = get["sketch"].flatten().to_numpy().view(np.uint64).reshape(-1, wide)
+        plain = (get[n].to_numpy(zero_copy_only=False) for n in ("node", "part", "tile", "block", "cross"))
+        u, v = candidates_in(*plain, sketch, radius, every)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    tiles = tiles_of(items, words, bands, sketch_from)
+    return tiles.groupBy("g").applyInArrow(compare, "u long, v long").distinct()
 
 
 def fingerprints_linked(docs: DataFrame, shingle: int = 3, radius: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -282,34 +341,109 @@ def fingerprints_linked(docs: DataFrame, shingle: int = 3, radius: int = 3, id_c
     return rows.join(known, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Bands of the long signature: an eighth of its bits is expected to differ at similarity 0.8.
+#: Bands of the long signature: a seventh of its bits is expected to differ at similarity 0.8.
 LONG_BANDS = [(14 * k, 14) for k in range(40)]
 BAND_WORDS = 9
 SKETCH_WORDS = 4
 
 
 def radius_for(similarity: float, bits: int) -> int:
-    """Bits in which SimHashes of sets of this Jaccard similarity and like size are expected to differ, and a deviation more."""
+    """Bits in which SimHashes of sets of this Jaccard similarity and like size are expected to differ, and three deviations more."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
+    return math.ceil(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
+
+
+SETS = T.StructType(
+    [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("key", T.BinaryType()), T.StructField("sig", T.ArrayType(T.LongType()))]
+)
+
+
+def shingle_sets(docs: DataFrame, shingle: int, words: int, id_column: str, text_column: str) -> DataFrame:
+    """``doc_id``, ``text``, the digest ``key`` of the set of shingles and the set's SimHash ``sig``."""
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sigs = [], []
+            for t in batch.column(1).to_pylist():
+                own = np.unique(shingle_hashes(t, shingle))
+                keys.append(xxhash.xxh3_128_digest(own.tobytes(), SEED))
+                sigs.append(majority(spread(own, words)))
+            if sigs:
+                flat = np.concatenate(sigs).view(np.int64)
+                sig = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * words, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), sig], SETS.names)
+
+    return rows.mapInArrow(run, SETS)
+
+
+def decided(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs with ``alike``: whether the Jaccard similarity of the sets of shingles is at least ``similarity``."""
+    ends = pairs.select(F.col("u").alias("end")).union(pairs.select("v")).distinct()
+    # tables, so that a member of many pairs can be split in the joins
+    own = persist(texts.join(ends, F.col("node") == F.col("end"), "left_semi").select("node", "text"), "pair-texts")
+    met = pairs.join(own.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v = (batch.column(k).to_pylist() for k in (0, 1))
+            alike, held = [], {}
+            for i, j, a, b in zip(u, v, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if len(held) > 256:
+                    held.clear()
+                for node, text in ((i, a), (j, b)):
+                    if node not in held:
+                        held[node] = np.unique(shingle_hashes(text, shingle))
+                x, y = held[i], held[j]
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                alike.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.bool_())], ["u", "v", "alike"])
+
+    return met.select("u", "v", "a", "b").mapInArrow(run, "u long, v long, alike boolean")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents without near copies: of each group the one with the smallest id stays.
 
-    Texts are compared on signatures of 832 bits over ``shingle`` words: 560 in 40 bands for
-    the search, which finds a pair of similarity 0.8 with a chance of 0.98 and one of 0.9
-    with 0.9999, and 256 for the distance.  Of rows with equal ids all stay or go together,
-    a null id comes last, and documents without a word are left as they are: they have no
-    shingles to be alike in.  All columns are returned.
+    Two documents are linked if the Jaccard similarity of their sets of shingles of
+    ``shingle`` words, compared shingle by shingle, is at least ``similarity``; groups are the
+    components of these links.  Signatures of 832 bits only propose pairs: 560 bits in 40
+    bands for the search, which finds a pair of similarity 0.8 with a chance of 0.98 and one
+    of 0.9 with 0.9999, and 256 bits whose radius lies three deviations above what 0.8 is
+    expected to differ in.
+
+    First only near pairs that span the proposed components are decided.  Where that leaves a
+    component in several parts, all other proposed pairs between its parts are decided too, so
+    no link that would join them is passed over; these pairs grow with the square of a group
+    whose members are just below ``similarity``.
+
+    Of rows with equal ids all stay or go together, a null id comes last, and documents
+    without a word are left as they are: they have no shingles to be alike in.  All columns
+    are returned.
     """
-    words = BAND_WORDS + SKETCH_WORDS
-    rows = persist(signatures(docs.filter(text_or_empty(text_column).rlike(r"[^\x20\x09-\x0D]")), shingle, words, id_column, text_column), "signatures")
-    rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
-    same = rows.groupBy("sig").agg(F.min("doc_id").alias("node"))
-    nodes = persist(same, "distinct")
-    roots = component_roots(nodes.select("node", "sig"), words, LONG_BANDS, BAND_WORDS, radius_for(similarity, 64 * SKETCH_WORDS))
-    # equal signatures: all but the first go; of linked ones, all but the root go
-    copies = rows.join(nodes.withColumnRenamed("sig", "of"), F.col("sig") == F.col("of")).filter(F.col("doc_id") != F.col("node")).select("doc_id")
+    words, radius = BAND_WORDS + SKETCH_WORDS, radius_for(similarity, 64 * SKETCH_WORDS)
+    rows = shingle_sets(docs.filter(text_or_empty(text_column).rlike(r"[^\x20\x09-\x0D]")), shingle, words, id_column, text_column)
+    # numbers given once, in a table: one row stands for all of an equal set
+    rows = persist(rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("node", F.monotonically_increasing_id()), "signatures")
+    nodes = persist(rows.groupBy("key", "sig").agg(F.min("doc_id").alias("first"), F.min("node").alias("node")), "distinct")
+    items = nodes.select("node", "sig")
+    near_pairs = persist(candidates(items.withColumn("part", F.col("node")), words, LONG_BANDS, BAND_WORDS, radius, False), "candidates")
+    links = persist(decided(near_pairs, rows, shingle, similarity), "decided")
+    good = links.filter("alike").select("u", "v")
+    failed = links.filter("NOT alike").select("u", "v")
+    if not failed.isEmpty():
+        parts = connected(good)
+        ends = failed.join(parts.select(F.col("node").alias("u"), F.col("root").alias("pu")), "u", "left").join(parts.select(F.col("node").alias("v"), F.col("root").alias("pv")), "v", "left")
+        ends = ends.select(F.coalesce("pu", "u").alias("pu"), F.coalesce("pv", "v").alias("pv")).filter("pu <> pv")
+        # every part of a component that fell apart lies at a failed pair
+        open_parts = persist(ends.select(F.col("pu").alias("open")).union(ends.select("pv")).distinct(), "open-parts")
+        rest = items.join(parts, "node", "left").withColumn("part", F.coalesce("root", "node")).join(open_parts, F.col("part") == F.col("open"), "left_semi").select("node", "sig", "part")
+        others = candidates(persist(rest, "open"), words, LONG_BANDS, BAND_WORDS, radius, True).join(failed, ["u", "v"], "left_anti")
+        good = good.union(persist(decided(persist(others, "candidates"), rows, shingle, similarity).filter("alike").select("u", "v"), "decided"))
+    first = nodes.select("node", "first")
+    named = good.join(first.select(F.col("node").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("node").alias("v"), F.col("first").alias("b")), "v")
+    roots = connected(named.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    # equal sets: all but the first go; of linked ones, all but the root go
+    copies = rows.select("doc_id", "key").join(nodes.select(F.col("key").alias("of"), "first"), F.col("key") == F.col("of")).filter(F.col("doc_id") != F.col("first")).select("doc_id")
     gone = persist(copies.union(roots.select("node")).distinct(), "copies")
     return docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)) == F.col("_gone"), "left_anti")

@@ -152,6 +152,32 @@ def test_near_copies_go(documents, dice):
     assert kept == set(range(0, 60, 2))
 
 
+def test_near_copies_are_decided_by_their_shingles(documents):
+    docs, base, n = [], 0, 180
+    for common, wanted in ((154, 0), (160, 0.95), (166, 0.98)):  # Jaccard 0.748, 0.8, 0.856
+        for k in range(60):
+            shared = [f"s{base}x{j}" for j in range(common + 4)]
+            for side in (0, 1):
+                docs.append((base + side, " ".join(shared + [f"t{base + side}x{j}" for j in range(n - common)])))
+            base += 2
+    # one shingle over and over outweighs all others in a SimHash of repeats, but not in the set
+    docs += [(base + side, "la " * 300 + " ".join(f"o{side}x{j}" for j in range(100))) for side in (0, 1)]
+    kept = {r.doc_id for r in simhash.keep_one(documents(docs)).collect()}
+    linked = [sum(120 * g + 2 * k + 1 not in kept for k in range(60)) / 60 for g in range(3)]
+    assert linked[0] == 0 and linked[1] >= 0.95 and linked[2] >= 0.98, linked
+    assert {base, base + 1} <= kept
+
+
+def test_forest_spans_by_near_pairs():
+    r = np.random.default_rng(4)
+    a, b, far = r.integers(0, 80, 300), r.integers(0, 80, 300), r.integers(0, 9, 300)
+    u, v, d = simhash.forest(80, a, b, far)
+    label = simhash.spanning(80, [(a, b)])
+    assert (simhash.spanning(80, [(u, v)]) == label).all() and len(u) == 80 - len(set(label.tolist()))
+    for limit in range(9):  # what near pairs alone connect, near pairs of the forest connect
+        assert (simhash.spanning(80, [(a[far <= limit], b[far <= limit])]) == simhash.spanning(80, [(u[d <= limit], v[d <= limit])])).all()
+
+
 def removed(docs):
     least = {}
     key = lambda d: suffix_dedup.NULL_ID if d is None else d
