@@ -294,6 +294,20 @@ def test_bad_hosts_go_and_small_ones_are_shrunk(spark):
     assert {r.doc_id for r in quality_rules.judge(df).collect() if r.kept} == kept
 
 
+def test_symbols_copied_lines_and_odd_words_fail(spark):
+    good = " ".join(f"word{j}" for j in range(40))
+    bad = {1: " ".join(f"word{j} #" for j in range(20)), 2: "\n".join(f"line{j} text{j}" for j in (0, 1, 2, 3, 4, 5, 3, 1, 5)), 3: " ".join(chr(97 + j) for j in range(26)), 4: " ".join(f"{j:030d}" for j in range(20))}
+    rows = [(k, t, "en", "host1", 1) for k, t in bad.items()] + [(5, good, "en", "host1", 1), (6, good + " #", "en", "host2", 1), (7, "a line of words here\n" + good, "en", "host2", 1)]
+    # hosts that fail by symbols alone, at a rate far over the corpus's but under one half
+    rows += [(1000 * h + k, bad[1] if h == 9 and k % 5 < 2 else good, "en", f"host{h}", 1) for h in range(1, 10) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    judged = {r.doc_id: r for r in quality_rules.judge(df).collect()}
+    assert [judged[k].kept for k in range(1, 8)] == [False] * 4 + [True] * 3
+    assert not any(judged[k].base_failed for k in range(1, 8))
+    assert {k for k, r in judged.items() if r.host_rejected} == set(range(9000, 9300))
+    assert {r.doc_id for r in quality_rules.keep_good(df).collect()} == {k for k, r in judged.items() if r.kept}
+
+
 def test_shards(documents, dice):
     docs = [(k, "é" * dice.randint(0, 300)) for k in range(900)] + [(5, None), (5, None)]
     rows = balanced_shards.shard_by_bytes(documents(docs)).collect()
