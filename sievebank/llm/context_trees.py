@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import pack, persist, shuffle_partitions, unpack
 from .suffix_dedup import blocks_of
 
-DEPTH = 6
+DEPTH = 7
 FOLDS, HELD_OUT = 7, 2
 BLOCK = 12 << 20
 BEFORE, END = 0xFF, 0xFE  # in no UTF-8 text

@@ -270,6 +270,13 @@ def test_context_trees(documents, dice):
         assert abs(r.base_score - sum(math.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in own)) < 1e-9
 
 
+def test_context_trees_mix_over_seven_bytes(documents, dice):
+    docs = [(k, " ".join(dice.choice(["the", "Of", "a", "é", "thn", "\n"]) for _ in range(dice.randint(0, 12)))) for k in range(16)]
+    got = {r.doc_id: r.score for r in context_trees.score(documents(docs)).collect()}
+    want = direct_tree(docs, 7)
+    assert all(abs(got[k] - want[k]) < 1e-5 for k, _ in docs)
+
+
 def test_quality(documents, dice):
     words = ["aa", "b", "é", "cc#", "|"]
     docs = [(k, "".join(dice.choice(words) + dice.choice([" ", "\n", "\x0b", " "]) for _ in range(dice.randint(0, 40)))) for k in range(120)]
