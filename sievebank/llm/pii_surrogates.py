@@ -6,8 +6,9 @@ surrogate of its own kind and shape, drawn from a keyed SHA-512 stream: digits f
 letters of the same case for letters, numbers that pass the same checks, names of the same
 gender and script.  Equal entities get equal surrogates wherever they stand, so coreference
 stays.  Surrogates are checked for collisions, with each other and with real entities of the
-corpus; those that collide are drawn again until all are distinct.  Mentions are written in
-the format they had.
+corpus; those that collide are drawn again until all are distinct, and longer from the third
+draw on where a short shape may be used up.  Mentions are written in the format they had.
+A password without a letter or digit is none: it has nothing to replace.
 
 Only rows with a mention are dealt anew; all others pass where they are read.
 """
@@ -42,7 +43,7 @@ _NAME = r"\p{Lu}\p{Ll}+"
 PARTS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "password": r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token)=[^\s\"',;]+",
+    "password": r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token)=(?=[^\s\"',;]*[\p{L}\p{N}])[^\s\"',;]+",
     "hex_secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
@@ -99,7 +100,7 @@ def draw(h: Column, k: Column) -> Column:
 
 
 def reshaped(value: Column, h: Column, hexadecimal: bool = False) -> Column:
-    """Other characters of the same classes in the same places."""
+    """Other characters of the same classes in the same places; ASCII letters for letters and digits beyond ASCII."""
     letters = "abcdef" if hexadecimal else "abcdefghijklmnopqrstuvwxyz"
 
     def other(c: Column, k: Column) -> Column:
@@ -112,6 +113,7 @@ def reshaped(value: Column, h: Column, hexadecimal: bool = False) -> Column:
             F.when(c.rlike("[0-9]"), one("0123456789"))
             .when(c.rlike("[a-z]"), one(letters))
             .when(c.rlike("[A-Z]"), one(letters.upper()))
+            .when(c.rlike(r"[\p{L}\p{N}]"), one(letters))
             .otherwise(c)
         )
 
@@ -159,7 +161,8 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     suffix = F.substring_index(domain, ".", -1)
     site = F.substring(domain, F.lit(1), F.length(domain) - F.length(suffix) - 1)
     # one stream for each domain, so that addresses of one domain still share one
-    email = F.concat(reshaped(local, h), F.lit("@"), reshaped(site, stream(key, F.lit("domain"), domain)), F.lit("."), suffix)
+    longer = F.repeat(F.lit("a"), F.greatest(attempt - 1, F.lit(0)))
+    email = F.concat(reshaped(F.concat(local, longer), h), F.lit("@"), reshaped(site, stream(key, F.lit("domain"), domain)), F.lit("."), suffix)
     octets = F.array(*[(draw(h, F.lit(k)) % 254 + 1).cast("string") for k in range(4)])
     leading = (draw(h, F.lit(60)) % 8 + 2).cast("string")
     shaped = reshaped(norm, h)
@@ -173,6 +176,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
         .when(kind == "iban", F.concat(F.substring(norm, 1, 2), F.substring(shaped, F.lit(3), F.length(norm))))
         .when(kind == "hex_secret", reshaped(norm, h, hexadecimal=True))
         .when(kind == "person", made_name(norm, h, attempt))
+        .when(kind == "password", reshaped(F.concat(norm, longer), h))
         .otherwise(shaped)
     )
 

@@ -394,6 +394,16 @@ def test_surrogates_are_distinct(spark):
     assert not {r.surrogate for r in rows} & {r.norm for r in rows}
 
 
+def test_shapes_without_free_surrogates(documents):
+    texts = [f"token={k} end" for k in range(10)] + [f"{c}@d.example.com" for c in "abcdefghijklmnopqrstuvwxyz"] + ["password=**** pwd=... token=••••", "token=пароль7 secret=日本"]
+    rows = {r.doc_id: r for r in pii_surrogates.replace(documents(list(enumerate(texts))), count_column="n").collect()}
+    assert rows[36].text == texts[36] and rows[36].n == 0
+    assert rows[37].n == 2 and "пароль" not in rows[37].text and "日本" not in rows[37].text
+    new = [rows[k].text for k in range(36)]
+    assert len(set(new)) == 36 and not set(new) & set(texts)
+    assert all(x.startswith("token=") and x.endswith(" end") for x in new[:10])
+
+
 def test_image_copies(spark):
     rows, r = [], np.random.default_rng(2)
     for k in range(30):
