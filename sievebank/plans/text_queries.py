@@ -220,7 +220,9 @@ WHERE (abs(length(a.key) - length(b.key)) * 100 <= 18 * greatest(length(a.key),
 def _reposts(spark: SparkSession, d: str) -> DataFrame:
     docs = b.table(spark, d, "documents")
     sets = docs.select(F.col("doc_id").alias("post_id"), F.explode(F.split("text", "\n")).alias("s")).filter("s <> ''").select("post_id", F.xxhash64("s").alias("question_id")).distinct()
-    heads = docs.select(F.col("doc_id").alias("post_id"), t.normal_title(F.left(F.substring_index("text", "\n", 1), F.lit(200))).alias("title"))
+    title = t.normal_title(F.substring_index("text", "\n", 1))
+    # first lines may be long, and titles go with each question: equal ones have equal digests
+    heads = docs.select(F.col("doc_id").alias("post_id"), F.when(title == "", "").otherwise(F.sha2(title, 256)).alias("title"))
     return dedup.duplicate_posts(sets, heads)
 
 

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from sievebank.operators import cluster, dedup, labels, leaders, maintenance
+from sievebank.plans import text_queries
 from sievebank.sources import pages, snapshot
 
 
@@ -184,3 +185,22 @@ def test_stream(spark, tmp_path):
     query = follow_posts(page_stream(spark, str(tmp_path / "pages")), str(tmp_path / "check"), lambda: spark.read.parquet(versions[-1]) if versions else None, replace)
     query.awaitTermination(120)
     assert [r.id for r in spark.read.parquet(versions[-1]).collect()] == [5]
+
+
+def test_registered_reposts_equal_brute_force(spark, tmp_path):
+    long = "some long first line " * 15
+    lines = lambda a, b: [f"line {k}" for k in range(a, b)]
+    docs = [[long + "one", *lines(0, 10)], [long + "two", *lines(0, 10)], [long + "one", *lines(0, 9)], ["short", *lines(20, 40)], ["Short!", *lines(20, 40)], ["other", *lines(20, 40)], ["", *lines(50, 55)], ["", *lines(50, 55)]]
+    rows = [(k, "\n".join(x)) for k, x in enumerate(docs)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {k: {x for x in d if x} for k, d in enumerate(docs)}
+    titles = {k: "".join(c for c in d[0].lower() if c.isalnum()) for k, d in enumerate(docs)}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    gone = set()
+    for same in (True, False):
+        kept = []
+        for k in sorted(sets.keys() - gone):
+            fits = (lambda j: titles[j] == titles[k] != "" and alike(j, k) >= 0.8) if same else (lambda j: min(len(sets[j]), len(sets[k])) >= 8 and alike(j, k) >= 0.9)
+            gone.add(k) if any(map(fits, kept)) else kept.append(k)
+    assert gone == {2, 4, 5}
+    assert {r.id for r in text_queries.QUERIES["reposts"][0](spark, str(tmp_path)).collect()} == gone
