@@ -31,6 +31,8 @@ SEED = 42
 TILE = 4096
 #: (query, word) items compared at once.
 ITEMS = 1 << 15
+#: Pairs added to a spanning forest at once.
+PAIRS = 1 << 19
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -225,8 +227,8 @@ def pairs_in(key: np.ndarray, block: np.ndarray, cross: np.ndarray, sketch: np.n
         to = min(n, at + limit, max(at + 1, int(np.searchsorted(counts, (counts[at - 1] if at else 0) + 8 * ITEMS, "right"))))
         q, w = np.concatenate(queries_of[at:to]), np.concatenate(words_of[at:to]) - at
         held = np.array(lanes[at:to])
-        for k in range(0, len(q), 8 * ITEMS):
-            a, b = near(sketch, q[k : k + 8 * ITEMS], w[k : k + 8 * ITEMS], held, radius)
+        for k in range(0, len(q), 2 * ITEMS):
+            a, b = near(sketch, q[k : k + 2 * ITEMS], w[k : k + 2 * ITEMS], held, radius)
             off = a != b
             yield a[off], b[off]
         at = to
@@ -246,13 +248,19 @@ def candidates_in(ids: np.ndarray, part: np.ndarray, key: np.ndarray, block: np.
     order = np.lexsort((block, key))
     ids, part, sketch = ids[order], part[order], sketch[order]
     a = b = far = np.zeros(0, np.int64)
-    for x, y in pairs_in(key[order], block[order], cross[order], sketch, radius):
-        apart = part[x] != part[y]
-        x, y = x[apart], y[apart]
-        far = np.concatenate([far, np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)])
-        a, b = np.concatenate([a, x]), np.concatenate([b, y])
-        if not every:
-            a, b, far = forest(len(ids), a, b, far)
+    whole = [(a, b)]
+    for all_x, all_y in pairs_in(key[order], block[order], cross[order], sketch, radius):
+        for k in range(0, len(all_x), PAIRS):  # a large group has millions of pairs
+            x, y = all_x[k : k + PAIRS], all_y[k : k + PAIRS]
+            apart = part[x] != part[y]
+            x, y = x[apart], y[apart]
+            if every:
+                whole.append((x, y))
+                continue
+            far = np.concatenate([far, np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)])
+            a, b, far = forest(len(ids), np.concatenate([a, x]), np.concatenate([b, y]), far)
+    if every:
+        a, b = (np.concatenate(c) for c in zip(*whole, strict=True))
     return np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
 
 
