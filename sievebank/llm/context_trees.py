@@ -9,9 +9,9 @@ is the product over its bytes and its end.
 
 The probability of a byte depends on the ``DEPTH`` bytes before it alone, so documents are
 packed into blocks, and each block asks once for every distinct string of ``DEPTH + 1`` bytes
-in it.  Counts are gathered by the nearest three context bytes, so a task holds whole
-subtrees.  The nodes nearer to the root, at most 256 * 256 contexts whatever the corpus,
-are summed up on the driver.
+in it.  Counts are gathered by the nearest two context bytes, or by more of them where a
+context is hot, so a task holds whole subtrees.  The few nodes nearer to the root are summed
+up on the driver.  Logarithms come back in fixed point, at most 2^-25 off for each byte.
 
 The base score, of single words with one added to each count, comes from the same blocks.
 """
@@ -28,10 +28,14 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import pack, persist, shuffle_partitions, unpack
+from .common import pack, persist, persist_by, shuffle_partitions, unpack
 from .suffix_dedup import blocks_of
 
 DEPTH = 7
+#: Nearest bytes that choose a string's task: the least, and the most where contexts are hot.
+ROOTS = (2, 6)
+#: Blocks looked at for hot contexts, and the fixed point of logarithms on their way back.
+SAMPLED, FIXED = 8, 1 << 24
 FOLDS, HELD_OUT = 7, 2
 BLOCK = 12 << 20
 BEFORE, END = 0xFF, 0xFE  # in no UTF-8 text
@@ -58,23 +62,30 @@ def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Logarithm of the gamma function for positive numbers: Stirling's series from 8 on."""
-    x = np.asarray(x, float)
-    shift = np.ones_like(x)
-    y = x.copy()
-    for _ in range(8):
-        low = y < 8
-        shift = np.where(low, shift * y, shift)
-        y = np.where(low, y + 1, y)
-    r = 1 / (y * y)
-    series = (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / y
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - np.log(shift)
+#: Logarithms of the gamma function at k + 1/2 and k + 1 for small k.
+SMALL = 1 << 16
+_HALVES = np.concatenate([[0.5 * math.log(math.pi)], 0.5 * math.log(math.pi) + np.cumsum(np.log(np.arange(SMALL - 1) + 0.5))])
+_WHOLES = np.concatenate([[0.0], np.cumsum(np.log(np.arange(SMALL - 1) + 1.0))])
+
+
+def stirling(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function for numbers from 8 on."""
+    r = 1 / (x * x)
+    series = (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / x
+    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + series
+
+
+def log_gamma(k: np.ndarray, add: float, table: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function at ``k + add`` for counts ``k``, whose small values ``table`` holds."""
+    out = table[np.minimum(k, SMALL - 1).astype(np.int64)]
+    large = np.flatnonzero(k >= SMALL)
+    out[large] = stirling(k[large] + add)
+    return out
 
 
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Krichevsky-Trofimov probability of ``a`` zeros and ``b`` ones."""
-    return log_gamma(a + 0.5) + log_gamma(b + 0.5) - math.log(math.pi) - log_gamma(a + b + 1.0)
+    return log_gamma(a, 0.5, _HALVES) + log_gamma(b, 0.5, _HALVES) - math.log(math.pi) - log_gamma(a + b, 1.0, _WHOLES)
 
 
 def weighted(a: np.ndarray, b: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,43 +95,72 @@ def weighted(a: np.ndarray, b: np.ndarray, below: np.ndarray) -> tuple[np.ndarra
     return both, np.exp(own - both)
 
 
-class Bits:
-    """The nodes of one binary decision for sorted strings ``key``: contexts, nearest byte first, then the byte."""
-
-    def __init__(self, key: np.ndarray, count: np.ndarray, bit: int, top: int, bottom: int):
-        byte = (key & np.uint64(0xFF)).astype(np.int64)
-        prefix = (1 << bit) | (byte >> (8 - bit))
-        one = (byte >> (7 - bit)) & 1
-        self.one = one
-        self.levels = {}
-        context = key >> np.uint64(8)
-        # nodes of the deepest level, then of each level above, as groups of the one below
-        node = context << np.uint64(8) | prefix.astype(np.uint64)
-        ids, of = np.unique(node, return_inverse=True)
-        a = np.bincount(of, count * (1 - one), len(ids))
-        b = np.bincount(of, count * one, len(ids))
-        log = log_kt(a, b)
-        self.of = of
-        self.levels[bottom] = (ids, None, a, b, log, np.ones(len(ids)))
-        for depth in range(bottom - 1, top - 1, -1):
-            # drop the farthest context byte, which stands above the prefix
-            parent = (ids >> np.uint64(16)) << np.uint64(8) | (ids & np.uint64(0xFF))
-            above, up = np.unique(parent, return_inverse=True)
-            a, b, below = (np.bincount(up, x, len(above)) for x in (a, b, log))
-            log, weight = weighted(a, b, below)
-            ids_, self.levels[depth + 1] = ids, (*self.levels[depth + 1][:1], up, *self.levels[depth + 1][2:])
-            self.levels[depth] = (above, None, a, b, log, weight)
-            ids = above
-
-    def chances(self, sums: np.ndarray, rest: np.ndarray, final: np.ndarray, top: int, bottom: int) -> np.ndarray:
+def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order, and the place among them of each number of ``x``."""
+    order = np.argsort(x)
+    held = x[order]
+    new = np.ones(len(x), bool)
+    np.not_equal(held[1:], held[:-1], out=new[1:])
+    of = np.empty(len(x), np.int32)
+    of[order] = np.cumsum(new, dtype=np.int32) - 1
+    return held[new], of
+
+
+class Tree:
+    """The nodes below contexts of ``top`` bytes for sorted strings ``key``: contexts, nearest byte first, then the byte.
+
+    Each level is the sorted table of its (context, byte) pairs, made once for all eight
+    decisions; the nodes of one decision are runs of that table.
+    """
+
+    def __init__(self, key: np.ndarray, count: np.ndarray, top: int, depth: int):
+        self.top, self.depth = top, depth
+        self.pairs, self.counts, self.up = {depth: key}, {depth: count.astype(float)}, {}
+        for d in range(depth - 1, top - 1, -1):
+            # drop the farthest context byte, which stands above the byte
+            self.pairs[d], self.up[d + 1] = numbered(parent(self.pairs[d + 1]))
+            self.counts[d] = np.bincount(self.up[d + 1], self.counts[d + 1], len(self.pairs[d]))
+
+    def decide(self, bit: int) -> dict[int, tuple]:
+        """Of each level's nodes the first pairs, counts, logs, weights and parents' places, and the node of each pair."""
+        levels, child = {}, None
+        for d in range(self.depth, self.top - 1, -1):
+            pair, count = self.pairs[d], self.counts[d]
+            node = pair >> np.uint64(8 - bit)
+            new = np.ones(len(pair), bool)
+            np.not_equal(node[1:], node[:-1], out=new[1:])
+            first, of = np.flatnonzero(new), np.cumsum(new, dtype=np.int32) - 1
+            b = np.add.reduceat(count * ((pair >> np.uint64(7 - bit)) & np.uint64(1)), first)
+            a = np.add.reduceat(count, first) - b
+            if child is None:
+                log, weight = log_kt(a, b), np.ones(len(first))
+            else:
+                up = of[self.up[d + 1][levels[child][0]]]
+                levels[child] = (*levels[child][:-1], up)
+                log, weight = weighted(a, b, np.bincount(up, levels[child][3], len(first)))
+            levels[d], child = (first, a, b, log, weight, of, None), d
+        return levels
+
+    def nodes(self, level: tuple, bit: int) -> np.ndarray:
+        """Names of the top level's nodes: the context above the decided bits behind a leading one."""
+        pair = self.pairs[self.top][level[0]]
+        return (pair >> np.uint64(8)) << np.uint64(8) | np.uint64(1 << bit) | (pair & np.uint64(0xFF)) >> np.uint64(8 - bit)
+
+    def chances(self, bit: int, levels: dict[int, tuple], sums: np.ndarray, rest: np.ndarray, final: np.ndarray) -> np.ndarray:
         """Probability of each string's bit, given the mixtures that reach the top level's nodes from above."""
-        for depth in range(top, bottom + 1):
-            _, up, a, b, _, weight = self.levels[depth]
-            if up is not None and depth > top:
+        for d in range(self.top, self.depth + 1):
+            _, a, b, _, weight, of, up = levels[d]
+            if d > self.top:
                 sums, rest, final = sums[up], rest[up], final[up]
             sums, rest, final = mixed(a, b, weight, sums, rest, final)
-        p = final[self.of]
-        return np.where(self.one == 1, p, 1 - p)
+        one = (self.pairs[self.depth] >> np.uint64(7 - bit)) & np.uint64(1)
+        p = final[of]
+        return np.where(one == 1, p, 1 - p)
+
+
+def parent(node: np.ndarray) -> np.ndarray:
+    """The node, or pair, with one context byte less."""
+    return (node >> np.uint64(16)) << np.uint64(8) | (node & np.uint64(0xFF))
 
 
 def mixed(a: np.ndarray, b: np.ndarray, weight: np.ndarray, sums: np.ndarray, rest: np.ndarray, final: np.ndarray) -> tuple:
@@ -205,11 +245,46 @@ def counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.diff(np.append(first, len(key)))
 
 
-def group_of(key: np.ndarray, depth: int, groups: int) -> np.ndarray:
-    """The task of each string: all with the same nearest three bytes meet."""
-    near = key >> np.uint64(8 * (depth - 2))
-    near = near * np.uint64(0x9E3779B97F4A7C15)
-    return ((near >> np.uint64(33)) % np.uint64(groups)).astype(np.int64)
+def nearest(key: np.ndarray, depth: int, n: int) -> np.ndarray:
+    """The ``n`` nearest context bytes of strings."""
+    return key >> np.uint64(8 * (depth + 1 - n))
+
+
+def among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(x), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
+
+
+def roots_of(key: np.ndarray, depth: int, hot: dict[int, np.ndarray]) -> np.ndarray:
+    """How many nearest bytes choose a string's task: two, and one more each time those are a hot context."""
+    out = np.full(len(key), ROOTS[0], np.int8)
+    for n in range(ROOTS[0], min(ROOTS[1], depth)):
+        at = np.flatnonzero(out == n)
+        out[at[among(nearest(key[at], depth, n), hot[n])]] = n + 1
+    return out
+
+
+def group_of(key: np.ndarray, depth: int, hot: dict[int, np.ndarray], groups: int) -> np.ndarray:
+    """The task of each string: all with the same nearest bytes, as many as ``roots_of`` says, meet."""
+    roots = roots_of(key, depth, hot)
+    near = key >> (8 * (depth + 1 - roots)).astype(np.uint64)
+    mixed_ = (near * np.uint64(8) + roots.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed_ >> np.uint64(33)) % np.uint64(groups)).astype(np.int64)
+
+
+def slices(key: np.ndarray, depth: int, hot: dict[int, np.ndarray], most: int = 1 << 18) -> Iterator[tuple[int, np.ndarray]]:
+    """The strings of whole subtrees, some at a time: the bytes of their roots, and their places in ``key``."""
+    roots = roots_of(key, depth, hot)
+    for top in np.unique(roots).tolist():
+        own = np.flatnonzero(roots == top)
+        near = nearest(key[own], depth, top)
+        edges = np.append(np.flatnonzero(np.diff(near)) + 1, len(own))
+        at = 0
+        while at < len(own):
+            to = int(edges[min(np.searchsorted(edges, at + most), len(edges) - 1)])
+            yield top, own[at:to]
+            at = to
 
 
 class Texts:
@@ -264,7 +339,7 @@ def gathered(table: pa.Table) -> tuple[list[bytes], np.ndarray, list[int]]:
     return table.column("what").to_pylist(), np.concatenate(n), [len(x) for x in n]
 
 
-def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", depth: int = DEPTH) -> DataFrame:
+def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", depth: int = DEPTH, groups: int | None = None) -> DataFrame:
     """Base score and model score of each whole text, learned from those not held out.
 
     A null text is empty: one token and one symbol, the end.  A null id has the checksum of
@@ -273,15 +348,16 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """
     spark = docs.sparkSession
     blocks = blocks_of(docs, id_column, text_column, [], BLOCK).select("block", "payload", "sizes", "ids", "nulls")
-    total = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    groups = max(shuffle_partitions(spark), total // (32 << 20))
+    size = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("total"), F.count(F.lit(1)).alias("n")).first()
+    groups = groups or max(shuffle_partitions(spark), (size["total"] or 0) // (8 << 20))
+    hot = hot_contexts(blocks, size["n"], depth, groups)
 
     def ask_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 t = Texts(row)
                 distinct, n = Strings(t.data, t.sizes, depth).distinct(~t.held)
-                yield from asked(row["block"], group_of(distinct, depth, groups), lambda own, d=distinct: pack(d[own]), n)
+                yield from asked(row["block"], group_of(distinct, depth, hot, groups), lambda own, d=distinct: pack(d[own]), n)
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
@@ -316,42 +392,46 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     n_train, vocabulary = (row["n"] or 0) + ends, (row["v"] or 0) + (ends > 0)
     base = n_train + vocabulary + 1
 
-    tallies = persist(blocks.mapInArrow(ask_strings, ASKED_SQL), "strings")
-    top = 3
+    # dealt out once and laid out by task, so that neither pass over the trees moves strings again
+    parts = max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism)
+    tallies = persist_by(blocks.mapInArrow(ask_strings, ASKED_SQL).repartition(parts, "g"), "strings", "g", parts)
 
-    def sums(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        what, n, _ = gathered(table)
-        raw = [unpack(x, np.uint64) for x in what]
-        key, of = np.unique(np.concatenate(raw), return_inverse=True)
-        return key, np.bincount(of, n, len(key)), raw
+    def sums(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """Distinct strings, their counts, and the places of all blocks' strings among them."""
+        what, n, sizes = gathered(table)
+        key, of = numbered(np.concatenate([unpack(x, np.uint64) for x in what]))
+        return key, np.bincount(of, n, len(key)), of, sizes
 
     def upwards(table: pa.Table) -> pa.Table:
-        """What the subtrees below three context bytes hand to the nodes above."""
-        key, count, _ = sums(table)
+        """What the subtrees hand to the nodes above their roots."""
+        key, count, _, _ = sums(table)
         out = []
-        for bit in range(8):
-            ids, _, a, b, log, _ = Bits(key, count, bit, top, depth).levels[top]
-            parent = (ids >> np.uint64(16)) << np.uint64(8) | (ids & np.uint64(0xFF))
-            above, up = np.unique(parent, return_inverse=True)
-            out.append((above.astype(np.int64), *(np.bincount(up, x, len(above)) for x in (a, b, log))))
-        node, a, b, log = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pa.table({"node": node, "a": a, "b": b, "log": log})
-
-    # nodes with two context bytes: at most 256 * 256 * 255 of them, however large the corpus
-    near = tallies.select("g", "what", "n").groupBy("g").applyInArrow(upwards, "node long, a double, b double, log double")
-    near = near.groupBy("node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("log").alias("log")).orderBy("node").toArrow()
-    table = spark.sparkContext.broadcast(from_root(*(near.column(c).to_numpy() for c in ("node", "a", "b", "log"))))
+        for top, own in slices(key, depth, hot):
+            tree = Tree(key[own], count[own], top, depth)
+            for bit in range(8):
+                level = tree.decide(bit)[top]
+                above, up = numbered(parent(tree.nodes(level, bit)))
+                out.append((np.full(len(above), top - 1), above.astype(np.int64), *(np.bincount(up, x, len(above)) for x in level[1:4])))
+        return pa.table(dict(zip(("level", "node", "a", "b", "log"), (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
+
+    # nodes with one context byte, at most 256 * 255, and 255 for each hot context, of which there are no more than tasks
+    near = tallies.select("g", "what", "n").groupBy("g").applyInArrow(upwards, "level long, node long, a double, b double, log double")
+    near = near.groupBy("level", "node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("log").alias("log")).orderBy("level", "node").toArrow()
+    table = spark.sparkContext.broadcast(from_root(*(near.column(c).to_numpy() for c in ("level", "node", "a", "b", "log"))))
 
     def downwards(data: pa.Table) -> pa.Table:
-        key, count, raw = sums(data)
-        node, sums_, rest, final = table.value
+        key, count, of, sizes = sums(data)
         logs = np.zeros(len(key))
-        for bit in range(8):
-            bits = Bits(key, count, bit, top, depth)
-            ids = bits.levels[top][0]
-            at = np.searchsorted(node, ((ids >> np.uint64(16)) << np.uint64(8) | (ids & np.uint64(0xFF))).astype(np.int64))
-            logs += np.log(bits.chances(sums_[at], rest[at], final[at], top, depth))
-        answers = [pack(logs[np.searchsorted(key, x)].astype(np.float32)) for x in raw]
+        for top, own in slices(key, depth, hot):
+            tree = Tree(key[own], count[own], top, depth)
+            node, *state = table.value[top - 1]
+            for bit in range(8):
+                levels = tree.decide(bit)
+                at = np.searchsorted(node, parent(tree.nodes(levels[top], bit)))
+                logs[own] += np.log(tree.chances(bit, levels, *(x[at] for x in state)))
+        fixed = np.rint(logs * -FIXED).astype("<u4")
+        ends = np.cumsum(sizes)
+        answers = [pack(fixed[of[e - n : e]]) for e, n in zip(ends.tolist(), sizes, strict=True)]
         return pa.table({"block": data.column("block"), "at": data.column("at"), "log": pa.array(answers, pa.binary())})
 
     logs = tallies.groupBy("g").applyInArrow(downwards, "block string, at binary, log binary")
@@ -367,7 +447,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                 distinct = strings.keys()
                 value = np.zeros(len(distinct))
                 for x in row["logs"] or ():
-                    value[unpack(x["at"], "<i4")] = unpack(x["log"], np.float32)
+                    value[unpack(x["at"], "<i4")] = unpack(x["log"], "<u4") / -FIXED
                 scores = strings.sums(distinct, value) / math.log(10)
                 del strings, distinct, value
                 order = t.distinct_words()
@@ -388,22 +468,49 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     return blocks.join(logs, "block", "left").join(counts, "block", "left").mapInArrow(close, RESULT)
 
 
-def from_root(node: np.ndarray, a: np.ndarray, b: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The mixtures that leave the nodes with two context bytes downwards, from the root's on."""
-    ids = node.astype(np.uint64)
-    log, weight = weighted(a, b, below) if len(ids) else (below, below)
-    levels = [(ids, None, a, b, weight)]
-    for _ in range(2):
-        parent = (ids >> np.uint64(16)) << np.uint64(8) | (ids & np.uint64(0xFF))
-        above, up = np.unique(parent, return_inverse=True)
-        a, b, below = (np.bincount(up, x, len(above)) for x in (a, b, log))
-        log, weight = weighted(a, b, below) if len(above) else (below, below)
-        levels[-1] = (levels[-1][0], up, *levels[-1][2:])
-        levels.append((above, None, a, b, weight))
-        ids = above
-    sums, rest, final = (np.full(len(ids), x) for x in (0.0, 1.0, 0.5))
-    for own, up, a, b, weight in reversed(levels):
-        if up is not None:
-            sums, rest, final = sums[up], rest[up], final[up]
-        sums, rest, final = mixed(a, b, weight, sums, rest, final)
-    return node, sums, rest, final
+def hot_contexts(blocks: DataFrame, n_blocks: int, depth: int, groups: int) -> dict[int, np.ndarray]:
+    """Contexts of two bytes and more that hold more strings than a task should.
+
+    Some ``SAMPLED`` blocks are looked at; which contexts are hot decides on the layout alone, not on any result.
+    """
+    some = blocks.filter(F.pmod(F.xxhash64("block"), F.lit(max(1, n_blocks // SAMPLED))) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                t = Texts(row)
+                key = Strings(t.data, t.sizes, depth).keys()
+                found = [(0, 0, len(key))]
+                for n in range(ROOTS[0], min(ROOTS[1], depth)):
+                    near, count = counted(nearest(key, depth, n))
+                    large = count * 4 * groups > len(key)
+                    found += [(n, c, k) for c, k in zip(near[large].tolist(), count[large].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["n", "context", "strings"])
+
+    rows = some.mapInArrow(run, "n long, context long, strings long").groupBy("n", "context").agg(F.sum("strings").alias("strings")).collect()
+    total = sum(r["strings"] for r in rows if not r["n"])
+    return {n: np.array(sorted(r["context"] for r in rows if r["n"] == n and r["strings"] * groups > total), np.uint64) for n in range(*ROOTS)}
+
+
+def from_root(level: np.ndarray, node: np.ndarray, a: np.ndarray, b: np.ndarray, below: np.ndarray) -> dict[int, tuple]:
+    """By level the nodes above the subtrees, with the mixtures that leave them downwards."""
+    own = {d: tuple(x[level == d] for x in (node.astype(np.uint64), a, b, below)) for d in np.unique(level).tolist()}
+    levels: dict[int, tuple] = {}
+    for d in range(max(own, default=-1), -1, -1):
+        parts = [own[d]] if d in own else []
+        if d + 1 in levels:
+            ids, _, a, b, _, log = levels[d + 1]
+            parts.append((parent(ids), a, b, log))
+        ids, of = numbered(np.concatenate([p[0] for p in parts]))
+        a, b, below = (np.bincount(of, np.concatenate([p[k] for p in parts]), len(ids)) for k in (1, 2, 3))
+        if d + 1 in levels:
+            child = levels[d + 1]
+            levels[d + 1] = (child[0], of[len(of) - len(child[0]) :], *child[2:])
+        log, weight = weighted(a, b, below)
+        levels[d] = (ids, None, a, b, weight, log)
+    out: dict[int, tuple] = {}
+    for d in range(len(levels)):
+        ids, up, a, b, weight, _ = levels[d]
+        state = (np.full(len(ids), x) for x in (0.0, 1.0, 0.5)) if up is None else (x[up] for x in out[d - 1][1:])
+        out[d] = (ids, *mixed(a, b, weight, *state))
+    return out

@@ -275,6 +275,15 @@ def test_context_trees_mix_over_seven_bytes(documents, dice):
     got = {r.doc_id: r.score for r in context_trees.score(documents(docs)).collect()}
     want = direct_tree(docs, 7)
     assert all(abs(got[k] - want[k]) < 1e-5 for k, _ in docs)
+    split = {r.doc_id: r.score for r in context_trees.score(documents(docs), groups=300).collect()}  # many hot contexts, of two to six bytes
+    assert all(abs(split[k] - want[k]) < 1e-5 for k, _ in docs)
+
+
+def test_log_kt_is_that_of_the_gamma_function():
+    n = np.array([0, 1, 2, 9, 65534, 65535, 65536, 65537, 10**9])
+    for a in n.tolist():
+        want = [math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1) for b in n.tolist()]
+        assert np.allclose(context_trees.log_kt(np.full(len(n), a), n), want, rtol=1e-9, atol=1e-6)
 
 
 def test_quality(documents, dice):
