@@ -206,18 +206,26 @@ class Strings:
 
     def distinct(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys, and how often each stands in the documents marked in ``train``."""
-        marks = np.repeat(train, np.diff(np.append(self.first, self.count)))
-        runs, rest, done = [], [], 0
+        sizes = np.diff(np.append(self.first, self.count))
+        marks = np.repeat(train, sizes)
+        n = int(sizes[train].sum())
+        own, rest = np.empty(n, np.uint64), np.empty(self.count - n, np.uint64)
+        at = done = 0
         for key, _ in self.pieces():
-            own = marks[done : done + len(key)]
-            runs.append(counted(key[own]))
-            rest.append(counted(key[~own])[0])
+            mark = marks[done : done + len(key)]
             done += len(key)
-        keys = counted(np.concatenate([k for k, _ in runs] + rest))[0]
-        counts = np.zeros(len(keys), np.int64)
-        for k, n in runs:
-            counts[np.searchsorted(keys, k)] += n
-        return keys, counts
+            k = int(mark.sum())
+            own[at : at + k] = key[mark]
+            rest[done - at - len(key) : done - at - k] = key[~mark]
+            at += k
+        del marks
+        learned, count = counted(own)
+        del own
+        other = counted(rest)[0]
+        new = other[~among(other, learned)]
+        keys = np.concatenate([learned, new])
+        order = np.argsort(keys, kind="stable")  # two runs in order
+        return keys[order], np.concatenate([count, np.zeros(len(new), np.int64)])[order]
 
     def keys(self) -> np.ndarray:
         """All distinct keys."""
@@ -239,9 +247,11 @@ class Strings:
 
 
 def counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct numbers in order, and how often each stands there."""
-    key = np.sort(key)
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    """Distinct numbers in order, and how often each stands there; the numbers end up sorted."""
+    key.sort()
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    first = np.flatnonzero(new)
     return key[first], np.diff(np.append(first, len(key)))
 
 

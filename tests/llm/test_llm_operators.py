@@ -283,7 +283,7 @@ def test_log_kt_is_that_of_the_gamma_function():
     n = np.array([0, 1, 2, 9, 65534, 65535, 65536, 65537, 10**9])
     for a in n.tolist():
         want = [math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1) for b in n.tolist()]
-        assert np.allclose(context_trees.log_kt(np.full(len(n), a), n), want, rtol=1e-9, atol=1e-6)
+        assert np.allclose(context_trees.log_kt(np.full(len(n), a), n), want, rtol=1e-9, atol=1e-4)  # the gamma function's own rounding at a thousand million
 
 
 def test_quality(documents, dice):
