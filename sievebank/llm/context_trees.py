@@ -37,7 +37,7 @@ ROOTS = (2, 6)
 #: Blocks looked at for hot contexts, and the fixed point of logarithms on their way back.
 SAMPLED, FIXED = 8, 1 << 24
 FOLDS, HELD_OUT = 7, 2
-BLOCK = 12 << 20
+BLOCK = 8 << 20
 BEFORE, END = 0xFF, 0xFE  # in no UTF-8 text
 #: A base token that no text can hold.
 END_TOKEN = b"\xfe"
@@ -174,7 +174,8 @@ def mixed(a: np.ndarray, b: np.ndarray, weight: np.ndarray, sums: np.ndarray, re
 class Strings:
     """The strings of ``depth + 1`` bytes that end at each byte and at the end of each document.
 
-    They are made and looked up piece by piece, so a block takes little more memory than its bytes.
+    They are made in portions by their nearest byte, so that portions follow each other in
+    the strings' order and a block takes little more memory than a portion.
     """
 
     def __init__(self, data: np.ndarray, sizes: np.ndarray, depth: int):
@@ -184,66 +185,61 @@ class Strings:
         #: Each document has ``depth`` bytes before it and one behind it.
         self.bytes = np.full(len(data) + n * (depth + 1), BEFORE, np.uint8)
         self.wanted = np.zeros(len(self.bytes), bool)
-        begin = ends - sizes + np.arange(n) * (depth + 1) + depth
-        for i, j, size in zip(begin.tolist(), (ends - sizes).tolist(), sizes.tolist(), strict=True):
+        self.begin = ends - sizes + np.arange(n) * (depth + 1) + depth
+        self.sizes = sizes
+        for i, j, size in zip(self.begin.tolist(), (ends - sizes).tolist(), sizes.tolist(), strict=True):
             self.bytes[i : i + size] = data[j : j + size]
             self.bytes[i + size] = END
             self.wanted[i : i + size + 1] = True
-        self.first = ends - sizes + np.arange(n)
-        self.count = len(data) + n
-
-    def pieces(self, size: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Keys, nearest context byte first and the byte last, and where they stand in ``bytes``."""
-        depth = self.depth
-        for lo in range(depth, len(self.bytes), size):
-            hi = min(len(self.bytes), lo + size)
-            key = np.zeros(hi - lo, np.uint64)
-            for k in range(1, depth + 1):
-                key = key << np.uint64(8) | self.bytes[lo - k : hi - k]
-            key = key << np.uint64(8) | self.bytes[lo:hi]
-            at = np.flatnonzero(self.wanted[lo:hi])
-            yield key[at], at + lo
+
+    def portions(self, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places in ``bytes`` and the keys there, nearest context byte first and the byte last, of about ``most`` strings."""
+        before = np.concatenate([[BEFORE], self.bytes[:-1]]).astype(np.uint8)
+        upto = np.cumsum(np.bincount(before[self.wanted], minlength=256))
+        low = 0
+        while low < 256:
+            done = upto[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(upto, done + most, "right")))
+            at = np.flatnonzero(self.wanted & (before >= low) & (before <= high - 1))
+            if len(at):
+                key = np.zeros(len(at), np.uint64)
+                for k in range(1, self.depth + 1):
+                    key <<= np.uint64(8)
+                    key |= self.bytes[at - k]
+                key <<= np.uint64(8)
+                key |= self.bytes[at]
+                yield at, key
+            low = high
 
     def distinct(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys, and how often each stands in the documents marked in ``train``."""
-        sizes = np.diff(np.append(self.first, self.count))
-        marks = np.repeat(train, sizes)
-        n = int(sizes[train].sum())
-        own, rest = np.empty(n, np.uint64), np.empty(self.count - n, np.uint64)
-        at = done = 0
-        for key, _ in self.pieces():
-            mark = marks[done : done + len(key)]
-            done += len(key)
-            k = int(mark.sum())
-            own[at : at + k] = key[mark]
-            rest[done - at - len(key) : done - at - k] = key[~mark]
-            at += k
-        del marks
-        learned, count = counted(own)
-        del own
-        other = counted(rest)[0]
-        new = other[~among(other, learned)]
-        keys = np.concatenate([learned, new])
-        order = np.argsort(keys, kind="stable")  # two runs in order
-        return keys[order], np.concatenate([count, np.zeros(len(new), np.int64)])[order]
-
-    def keys(self) -> np.ndarray:
-        """All distinct keys."""
-        return counted(np.concatenate([counted(k)[0] for k, _ in self.pieces()]))[0]
-
-    def sums(self, keys: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """The values of each document's strings, added up."""
-        out, done = np.zeros(len(self.first)), 0
-        for key, _ in self.pieces():
-            order = np.argsort(key)  # neighbours in order are neighbours in ``keys``
-            own = np.empty(len(key))
-            own[order] = value[np.searchsorted(keys, key[order])]
-            if len(own):
-                lo = np.searchsorted(self.first, done, "right") - 1
-                hi = np.searchsorted(self.first, done + len(own), "left")
-                out[lo:hi] += np.add.reduceat(own, np.maximum(self.first[lo:hi], done) - done)
-            done += len(own)
-        return out
+        marks = np.zeros(len(self.bytes), bool)
+        for i, size, is_train in zip(self.begin.tolist(), self.sizes.tolist(), train.tolist(), strict=True):
+            marks[i : i + size + 1] = is_train
+        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for at, key in self.portions():
+            own = marks[at]
+            learned, count = counted(key[own])
+            other = counted(key[~own])[0]
+            new = other[~among(other, learned)]
+            both = np.concatenate([learned, new])
+            order = np.argsort(both, kind="stable")  # two runs in order
+            keys.append(both[order])
+            counts.append(np.concatenate([count, np.zeros(len(new), np.int64)])[order])
+        return np.concatenate(keys), np.concatenate(counts)
+
+    def sums(self, value: np.ndarray) -> np.ndarray:
+        """The values of each document's strings, added up; ``value`` follows the distinct keys."""
+        out, base = np.zeros(len(self.bytes), value.dtype), 0
+        for at, key in self.portions():
+            order = np.argsort(key)
+            key = key[order]
+            new = np.ones(len(key), bool)
+            np.not_equal(key[1:], key[:-1], out=new[1:])
+            rank = np.cumsum(new, dtype=np.int32)
+            out[at[order]] = value[base + rank - 1]
+            base += int(rank[-1])
+        return np.add.reduceat(out, self.begin, dtype=np.uint64) if len(self.begin) else np.zeros(0, np.uint64)
 
 
 def counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -308,25 +304,31 @@ class Texts:
         self.held = np.array([is_held_out(i) for i in self.ids], bool)
         self.ends = np.cumsum(self.sizes)
 
-    def words(self) -> Iterator[list[bytes]]:
-        for e, n in zip(self.ends.tolist(), self.sizes.tolist(), strict=True):
-            yield self.raw[e - n : e].lower().split()
+    def words(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Ranges of documents, the numbers of their words in order of first sight, and how many each document has; fills ``number``."""
+        self.number: dict[bytes, int] = {}
+        number, raw = self.number, self.raw
+        ends, sizes = self.ends.tolist(), self.sizes.tolist()
+        edges = [0, *(np.flatnonzero(np.diff(self.ends >> 19)) + 1).tolist(), len(ends)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            own, count = [], np.empty(hi - lo, np.int64)
+            for k in range(lo, hi):
+                found = raw[ends[k] - sizes[k] : ends[k]].lower().split()
+                count[k - lo] = len(found)
+                own += found
+            new = [w for w in dict.fromkeys(own) if w not in number]
+            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+            yield lo, hi, np.fromiter(map(number.__getitem__, own), np.int64, len(own)), count
 
     def vocabulary(self) -> tuple[list[bytes], np.ndarray]:
         """Distinct words in order, and how often training documents hold each."""
         counts: Counter[bytes] = Counter()
-        for own, held in zip(self.words(), self.held.tolist(), strict=True):
-            if not held:
-                counts.update(own)
-        order = self.distinct_words()
+        other: set[bytes] = set()
+        for e, n, held in zip(self.ends.tolist(), self.sizes.tolist(), self.held.tolist(), strict=True):
+            (other if held else counts).update(self.raw[e - n : e].lower().split())
+        order = sorted(other.union(counts))
         return order, np.fromiter(map(counts.__getitem__, order), np.int64, len(order))
 
-    def distinct_words(self) -> list[bytes]:
-        found: set[bytes] = set()
-        for own in self.words():
-            found.update(own)
-        return sorted(found)
-
 
 ASKED = pa.schema([("g", pa.int32()), ("block", pa.string()), ("at", pa.binary()), ("what", pa.binary()), ("n", pa.binary())])
 ASKED_SQL = "g int, block string, at binary, what binary, n binary"
@@ -453,27 +455,29 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         for batch in batches:
             for row in batch.to_pylist():
                 t = Texts(row)
-                strings = Strings(t.data, t.sizes, depth)
-                distinct = strings.keys()
-                value = np.zeros(len(distinct))
-                for x in row["logs"] or ():
-                    value[unpack(x["at"], "<i4")] = unpack(x["log"], "<u4") / -FIXED
-                scores = strings.sums(distinct, value) / math.log(10)
-                del strings, distinct, value
-                order = t.distinct_words()
+                told = [(unpack(x["at"], "<i4"), unpack(x["log"], "<u4")) for x in row["logs"] or ()]
+                value = np.zeros(sum(len(at) for at, _ in told), np.uint32)
+                for at, log in told:
+                    value[at] = log
+                scores = Strings(t.data, t.sizes, depth).sums(value) / (-FIXED * math.log(10))
+                del told, value
+                found = list(t.words())
+                # counts come in the order of words
+                order = np.fromiter(map(t.number.__getitem__, sorted(t.number)), np.int64, len(t.number))
                 n = np.zeros(len(order), np.int64)
                 for x in row["counts"] or ():
-                    n[unpack(x["at"], "<i4")] = unpack(x["n"], np.int64)
-                number = {w: k for k, w in enumerate(order)}
+                    n[order[unpack(x["at"], "<i4")]] = unpack(x["n"], np.int64)
                 gain, known = np.log10(n + 1.0), n > 0
-                out = []
-                for own, doc, is_held, total, size in zip(t.words(), t.ids, t.held.tolist(), scores.tolist(), t.sizes.tolist(), strict=True):
-                    at = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
-                    plain = float(gain[at].sum()) + math.log10(ends + 1.0) - (len(own) + 1) * lowest
-                    bits = -total / math.log10(2) / (size + 1)
-                    out.append((doc, is_held, len(own) + 1, int(known[at].sum()) + (ends > 0), n_train, plain, total, size, bits))
+                tokens, plain, seen = np.zeros(len(t.ids), np.int64), np.zeros(len(t.ids)), np.zeros(len(t.ids), np.int64)
+                for lo, hi, at, count in found:
+                    of = np.repeat(np.arange(hi - lo), count)
+                    tokens[lo:hi] = count + 1
+                    plain[lo:hi] = np.bincount(of, gain[at], hi - lo) + math.log10(ends + 1.0) - (count + 1) * lowest
+                    seen[lo:hi] = np.bincount(of, known[at], hi - lo).astype(np.int64) + (ends > 0)
+                bits = -scores / math.log10(2) / (t.sizes + 1)
+                out = [t.ids, t.held, tokens, seen, np.full(len(t.ids), n_train), plain, scores, t.sizes, bits]
                 kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], RESULT.names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], RESULT.names)
 
     return blocks.join(logs, "block", "left").join(counts, "block", "left").mapInArrow(close, RESULT)
 
@@ -489,7 +493,7 @@ def hot_contexts(blocks: DataFrame, n_blocks: int, depth: int, groups: int) -> d
         for batch in batches:
             for row in batch.to_pylist():
                 t = Texts(row)
-                key = Strings(t.data, t.sizes, depth).keys()
+                key = Strings(t.data, t.sizes, depth).distinct(~t.held)[0]
                 found = [(0, 0, len(key))]
                 for n in range(ROOTS[0], min(ROOTS[1], depth)):
                     near, count = counted(nearest(key, depth, n))
