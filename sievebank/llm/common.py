@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from itertools import islice
 
 import numpy as np
@@ -67,6 +68,17 @@ def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
 
 
+def each_row(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of large values, one at a time, with freed memory going back to the system at once.
+
+    The C library otherwise keeps freed blocks of up to 32 MB for the worker's next ones.
+    """
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 def scratch_name(taken: list[str], wanted: str) -> str:
     """``wanted``, with underscores in front until no column in ``taken`` has that name."""
     low = {x.lower() for x in taken}

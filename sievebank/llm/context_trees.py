@@ -28,14 +28,14 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import pack, persist, persist_by, shuffle_partitions, unpack
+from .common import each_row, pack, persist, persist_by, shuffle_partitions, unpack
 from .suffix_dedup import blocks_of
 
 DEPTH = 7
 #: Nearest bytes that choose a string's task: the least, and the most where contexts are hot.
 ROOTS = (2, 6)
 #: Blocks looked at for hot contexts, and the fixed point of logarithms on their way back.
-SAMPLED, FIXED = 8, 1 << 24
+SAMPLED, FIXED = 4, 1 << 24
 FOLDS, HELD_OUT = 7, 2
 BLOCK = 8 << 20
 BEFORE, END = 0xFF, 0xFE  # in no UTF-8 text
@@ -90,8 +90,8 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def weighted(a: np.ndarray, b: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A node's weighted probability, and the weight of its own estimate in it."""
-    own = HALF + log_kt(a, b)
-    both = np.logaddexp(own, HALF + below)
+    own, other = HALF + log_kt(a, b), HALF + below
+    both = np.maximum(own, other) + np.log(1 + np.exp(-np.abs(own - other)))
     return both, np.exp(own - both)
 
 
@@ -194,7 +194,8 @@ class Strings:
 
     def portions(self, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places in ``bytes`` and the keys there, nearest context byte first and the byte last, of about ``most`` strings."""
-        before = np.concatenate([[BEFORE], self.bytes[:-1]]).astype(np.uint8)
+        before = np.empty_like(self.bytes)
+        before[0], before[1:] = BEFORE, self.bytes[:-1]
         upto = np.cumsum(np.bincount(before[self.wanted], minlength=256))
         low = 0
         while low < 256:
@@ -203,11 +204,11 @@ class Strings:
             at = np.flatnonzero(self.wanted & (before >= low) & (before <= high - 1))
             if len(at):
                 key = np.zeros(len(at), np.uint64)
-                for k in range(1, self.depth + 1):
+                at -= self.depth
+                for k in (*range(self.depth - 1, -1, -1), self.depth):
                     key <<= np.uint64(8)
-                    key |= self.bytes[at - k]
-                key <<= np.uint64(8)
-                key |= self.bytes[at]
+                    key |= self.bytes[k:][at]
+                at += self.depth
                 yield at, key
             low = high
 
@@ -221,11 +222,10 @@ class Strings:
             own = marks[at]
             learned, count = counted(key[own])
             other = counted(key[~own])[0]
-            new = other[~among(other, learned)]
-            both = np.concatenate([learned, new])
-            order = np.argsort(both, kind="stable")  # two runs in order
-            keys.append(both[order])
-            counts.append(np.concatenate([count, np.zeros(len(new), np.int64)])[order])
+            to = np.searchsorted(learned, other)
+            new = learned[np.minimum(to, len(learned) - 1)] != other if len(learned) else np.ones(len(other), bool)
+            keys.append(np.insert(learned, to[new], other[new]))
+            counts.append(np.insert(count, to[new], 0))
         return np.concatenate(keys), np.concatenate(counts)
 
     def sums(self, value: np.ndarray) -> np.ndarray:
@@ -336,7 +336,7 @@ ASKED_SQL = "g int, block string, at binary, what binary, n binary"
 
 def asked(block: str, group: np.ndarray, what, n: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows for each group; ``what`` gives the bytes of chosen entries."""
-    order = np.argsort(group, kind="stable")
+    order = np.argsort(group.astype(np.uint16) if len(group) and group.max() < 1 << 16 else group, kind="stable")  # few numbers sort by their digits
     edge = np.flatnonzero(np.diff(group[order], prepend=-1))
     rows = []
     for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True):
@@ -366,7 +366,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
     def ask_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in each_row(batch):
                 t = Texts(row)
                 distinct, n = Strings(t.data, t.sizes, depth).distinct(~t.held)
                 yield from asked(row["block"], group_of(distinct, depth, hot, groups), lambda own, d=distinct: pack(d[own]), n)
@@ -374,7 +374,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in each_row(batch):
                 words, n = Texts(row).vocabulary()
                 to = np.fromiter((zlib.crc32(w) % groups for w in words), np.int64, len(words))
                 yield from asked(row["block"], to, lambda own, w=words: packer.compress(b"\n".join([w[k] for k in own.tolist()])), n)
@@ -437,10 +437,12 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         for top, own in slices(key, depth, hot):
             tree = Tree(key[own], count[own], top, depth)
             node, *state = table.value[top - 1]
+            chance = np.ones(len(own))
             for bit in range(8):
                 levels = tree.decide(bit)
                 at = np.searchsorted(node, parent(tree.nodes(levels[top], bit)))
-                logs[own] += np.log(tree.chances(bit, levels, *(x[at] for x in state)))
+                chance *= tree.chances(bit, levels, *(x[at] for x in state))
+            logs[own] = np.log(chance)
         fixed = np.rint(logs * -FIXED).astype("<u4")
         ends = np.cumsum(sizes)
         answers = [pack(fixed[of[e - n : e]]) for e, n in zip(ends.tolist(), sizes, strict=True)]
@@ -453,7 +455,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lowest = math.log10(base)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in each_row(batch):
                 t = Texts(row)
                 told = [(unpack(x["at"], "<i4"), unpack(x["log"], "<u4")) for x in row["logs"] or ()]
                 value = np.zeros(sum(len(at) for at, _ in told), np.uint32)
@@ -491,7 +493,7 @@ def hot_contexts(blocks: DataFrame, n_blocks: int, depth: int, groups: int) -> d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in each_row(batch):
                 t = Texts(row)
                 key = Strings(t.data, t.sizes, depth).distinct(~t.held)[0]
                 found = [(0, 0, len(key))]
