@@ -23,8 +23,21 @@ ASCII_WS = " \t\n\x0b\x0c\r"
 NULL_ID = (1 << 63) - 1
 
 
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes: rows of this subpackage may hold megabytes each."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name).rstrip("bB")
+    if not held.isdigit() or int(held) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The named Parquet table below ``sf_dir``."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
@@ -34,6 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
     It is ``spark.checkpoint.dir``, or the checkpoint folder set on the context. Only a
     local session without either gets a temporary one of its own; a cluster must name it.
     """
+    small_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
