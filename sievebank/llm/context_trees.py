@@ -449,39 +449,43 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         return pa.table({"block": data.column("block"), "at": data.column("at"), "log": pa.array(answers, pa.binary())})
 
     logs = tallies.groupBy("g").applyInArrow(downwards, "block string, at binary, log binary")
-    logs = logs.groupBy("block").agg(F.collect_list(F.struct("at", "log")).alias("logs"))
-    counts = words.groupBy("block").agg(F.collect_list(F.struct("at", "n")).alias("counts"))
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lowest = math.log10(base)
-        for batch in batches:
-            for row in each_row(batch):
-                t = Texts(row)
-                told = [(unpack(x["at"], "<i4"), unpack(x["log"], "<u4")) for x in row["logs"] or ()]
-                value = np.zeros(sum(len(at) for at, _ in told), np.uint32)
-                for at, log in told:
-                    value[at] = log
-                scores = Strings(t.data, t.sizes, depth).sums(value) / (-FIXED * math.log(10))
-                del told, value
-                found = list(t.words())
-                # counts come in the order of words
-                order = np.fromiter(map(t.number.__getitem__, sorted(t.number)), np.int64, len(t.number))
-                n = np.zeros(len(order), np.int64)
-                for x in row["counts"] or ():
-                    n[order[unpack(x["at"], "<i4")]] = unpack(x["n"], np.int64)
-                gain, known = np.log10(n + 1.0), n > 0
-                tokens, plain, seen = np.zeros(len(t.ids), np.int64), np.zeros(len(t.ids)), np.zeros(len(t.ids), np.int64)
-                for lo, hi, at, count in found:
-                    of = np.repeat(np.arange(hi - lo), count)
-                    tokens[lo:hi] = count + 1
-                    plain[lo:hi] = np.bincount(of, gain[at], hi - lo) + math.log10(ends + 1.0) - (count + 1) * lowest
-                    seen[lo:hi] = np.bincount(of, known[at], hi - lo).astype(np.int64) + (ends > 0)
-                bits = -scores / math.log10(2) / (t.sizes + 1)
-                out = [t.ids, t.held, tokens, seen, np.full(len(t.ids), n_train), plain, scores, t.sizes, bits]
-                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], RESULT.names)
-
-    return blocks.join(logs, "block", "left").join(counts, "block", "left").mapInArrow(close, RESULT)
+    answers = logs.select("block", "at", F.col("log").alias("what"), F.lit(True).alias("is_log"))
+    answers = answers.union(words.select("block", "at", "n", F.lit(False)))
+
+    def close(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The scores of a block's documents, from what came back for its strings and words."""
+        out, lowest = [], math.log10(base)
+        is_log = np.array(right.column("is_log").to_pylist(), bool)
+        logs, counts = (right.filter(pa.array(x)) for x in (is_log, ~is_log))
+        del right
+        for row in (r for b in left.to_batches() for r in each_row(b)):
+            t = Texts(row)
+            value = np.zeros(sum(len(unpack(x, "<i4")) for x in logs.column("at").to_pylist()), np.uint32)
+            for at, log in zip(logs.column("at"), logs.column("what"), strict=True):
+                value[unpack(at.as_py(), "<i4")] = unpack(log.as_py(), "<u4")
+            scores = Strings(t.data, t.sizes, depth).sums(value) / (-FIXED * math.log(10))
+            del value
+            found = list(t.words())
+            # counts come in the order of words
+            order = np.fromiter(map(t.number.__getitem__, sorted(t.number)), np.int64, len(t.number))
+            n = np.zeros(len(order), np.int64)
+            for at, count in zip(counts.column("at"), counts.column("what"), strict=True):
+                n[order[unpack(at.as_py(), "<i4")]] = unpack(count.as_py(), np.int64)
+            gain, known = np.log10(n + 1.0), n > 0
+            tokens, plain, seen = np.zeros(len(t.ids), np.int64), np.zeros(len(t.ids)), np.zeros(len(t.ids), np.int64)
+            for lo, hi, at, count in found:
+                of = np.repeat(np.arange(hi - lo), count)
+                tokens[lo:hi] = count + 1
+                plain[lo:hi] = np.bincount(of, gain[at], hi - lo) + math.log10(ends + 1.0) - (count + 1) * lowest
+                seen[lo:hi] = np.bincount(of, known[at], hi - lo).astype(np.int64) + (ends > 0)
+            bits = -scores / math.log10(2) / (t.sizes + 1)
+            columns = [t.ids, t.held, tokens, seen, np.full(len(t.ids), n_train), plain, scores, t.sizes, bits]
+            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
+            out.append(pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], RESULT.names))
+        return pa.concat_tables(out)
+
+    # rows of answers meet their block as they are: no list of all of them is put together
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(close, RESULT)
 
 
 def hot_contexts(blocks: DataFrame, n_blocks: int, depth: int, groups: int) -> dict[int, np.ndarray]:
