@@ -20,11 +20,11 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -192,24 +192,29 @@ class Strings:
             self.bytes[i + size] = END
             self.wanted[i : i + size + 1] = True
 
-    def portions(self, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def portions(self, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places in ``bytes`` and the keys there, nearest context byte first and the byte last, of about ``most`` strings."""
         before = np.empty_like(self.bytes)
         before[0], before[1:] = BEFORE, self.bytes[:-1]
         upto = np.cumsum(np.bincount(before[self.wanted], minlength=256))
+        n = len(self.bytes) - self.depth
+        ahead = np.concatenate([np.full(7 - self.depth, BEFORE, np.uint8), self.bytes, np.zeros(16, np.uint8)])
+        whole = np.empty(n, np.uint64)  # the eight bytes up to each place, the last one on top
+        for k in range(8):
+            whole[k::8] = ahead[k : k + n // 8 * 8 + 8].view("<u8")[: len(whole[k::8])]
+        last = whole >> np.uint64(56)
+        whole <<= np.uint64(8)
+        whole >>= np.uint64(64 - 8 * self.depth)
+        whole <<= np.uint64(8)
+        whole |= last
+        del ahead, last
         low = 0
         while low < 256:
             done = upto[low - 1] if low else 0
             high = max(low + 1, int(np.searchsorted(upto, done + most, "right")))
             at = np.flatnonzero(self.wanted & (before >= low) & (before <= high - 1))
             if len(at):
-                key = np.zeros(len(at), np.uint64)
-                at -= self.depth
-                for k in (*range(self.depth - 1, -1, -1), self.depth):
-                    key <<= np.uint64(8)
-                    key |= self.bytes[k:][at]
-                at += self.depth
-                yield at, key
+                yield at, whole[at - self.depth]
             low = high
 
     def distinct(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -304,30 +309,26 @@ class Texts:
         self.held = np.array([is_held_out(i) for i in self.ids], bool)
         self.ends = np.cumsum(self.sizes)
 
-    def words(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """Ranges of documents, the numbers of their words in order of first sight, and how many each document has; fills ``number``."""
-        self.number: dict[bytes, int] = {}
-        number, raw = self.number, self.raw
-        ends, sizes = self.ends.tolist(), self.sizes.tolist()
-        edges = [0, *(np.flatnonzero(np.diff(self.ends >> 19)) + 1).tolist(), len(ends)]
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            own, count = [], np.empty(hi - lo, np.int64)
-            for k in range(lo, hi):
-                found = raw[ends[k] - sizes[k] : ends[k]].lower().split()
-                count[k - lo] = len(found)
-                own += found
-            new = [w for w in dict.fromkeys(own) if w not in number]
-            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
-            yield lo, hi, np.fromiter(map(number.__getitem__, own), np.int64, len(own)), count
+    def words(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Distinct words in order, the place among them of each word of the block, and how many words each document has."""
+        plain = self.raw.lower()  # bytes: A-Z only
+        edges = np.concatenate([[0], self.ends]).astype(np.int32)
+        texts = pa.StringArray.from_buffers(len(self.ids), pa.py_buffer(edges), pa.py_buffer(plain))
+        found = pc.ascii_split_whitespace(texts)
+        flat, of = found.flatten().cast(pa.binary()), np.repeat(np.arange(len(self.ids)), np.diff(found.offsets.to_numpy()))
+        real = pc.not_equal(pc.binary_length(flat), 0)  # white space at either end leaves an empty word
+        if not pc.all(real, min_count=0).as_py():
+            flat, of = flat.filter(real), of[real.to_numpy(zero_copy_only=False)]
+        coded = flat.dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return coded.dictionary.take(pa.array(order)), place[coded.indices.to_numpy()], np.bincount(of, minlength=len(self.ids))
 
     def vocabulary(self) -> tuple[list[bytes], np.ndarray]:
         """Distinct words in order, and how often training documents hold each."""
-        counts: Counter[bytes] = Counter()
-        other: set[bytes] = set()
-        for e, n, held in zip(self.ends.tolist(), self.sizes.tolist(), self.held.tolist(), strict=True):
-            (other if held else counts).update(self.raw[e - n : e].lower().split())
-        order = sorted(other.union(counts))
-        return order, np.fromiter(map(counts.__getitem__, order), np.int64, len(order))
+        words, at, count = self.words()
+        return words.to_pylist(), np.bincount(at[np.repeat(~self.held, count)], minlength=len(words))
 
 
 ASKED = pa.schema([("g", pa.int32()), ("block", pa.string()), ("at", pa.binary()), ("what", pa.binary()), ("n", pa.binary())])
@@ -465,19 +466,14 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                 value[unpack(at.as_py(), "<i4")] = unpack(log.as_py(), "<u4")
             scores = Strings(t.data, t.sizes, depth).sums(value) / (-FIXED * math.log(10))
             del value
-            found = list(t.words())
-            # counts come in the order of words
-            order = np.fromiter(map(t.number.__getitem__, sorted(t.number)), np.int64, len(t.number))
-            n = np.zeros(len(order), np.int64)
-            for at, count in zip(counts.column("at"), counts.column("what"), strict=True):
-                n[order[unpack(at.as_py(), "<i4")]] = unpack(count.as_py(), np.int64)
-            gain, known = np.log10(n + 1.0), n > 0
-            tokens, plain, seen = np.zeros(len(t.ids), np.int64), np.zeros(len(t.ids)), np.zeros(len(t.ids), np.int64)
-            for lo, hi, at, count in found:
-                of = np.repeat(np.arange(hi - lo), count)
-                tokens[lo:hi] = count + 1
-                plain[lo:hi] = np.bincount(of, gain[at], hi - lo) + math.log10(ends + 1.0) - (count + 1) * lowest
-                seen[lo:hi] = np.bincount(of, known[at], hi - lo).astype(np.int64) + (ends > 0)
+            words_, at_word, count = t.words()
+            n = np.zeros(len(words_), np.int64)  # in the order of words
+            for at, own in zip(counts.column("at"), counts.column("what"), strict=True):
+                n[unpack(at.as_py(), "<i4")] = unpack(own.as_py(), np.int64)
+            of = np.repeat(np.arange(len(t.ids)), count)
+            tokens = count + 1
+            plain = np.bincount(of, np.log10(n + 1.0)[at_word], len(t.ids)) + math.log10(ends + 1.0) - tokens * lowest
+            seen = np.bincount(of, (n > 0)[at_word], len(t.ids)).astype(np.int64) + (ends > 0)
             bits = -scores / math.log10(2) / (t.sizes + 1)
             columns = [t.ids, t.held, tokens, seen, np.full(len(t.ids), n_train), plain, scores, t.sizes, bits]
             kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
