@@ -1,14 +1,17 @@
 """SimHash near-duplicates with bit-sliced comparison.
 
-Fingerprints that may be near share a band of bits.  Inside a bucket of equal bands, members
-are held vertically: for each bit position one machine word holds that bit of 64 members.  A
-query is compared with 64 members at once: XOR each plane with the query's bit, and add the
-outcome to bitwise counters with carry-save additions.  The counters start so that passing
-the radius carries out of the top; a block whose 64 members have all passed it is abandoned.
-
-With radius ``r`` and ``r + 1`` bands that tile the fingerprint no pair is lost.  The longer
-signatures of ``keep_one`` have many bands, and lose a pair with a known small chance; they
-propose pairs, which the sets of shingles decide.
+Fingerprints that may be near share a key.  Inside a bucket of equal keys, members are held
+vertically: for each bit position one machine word holds that bit of 64 members.  A query is
+compared with 64 members at once: XOR each plane with the query's bit, and add the outcome to
+bitwise counters with carry-save additions.  The counters start so that passing the radius
+carries out of the top; a block whose 64 members have all passed it is abandoned.
+
+Fingerprints of 64 bits that differ in at most three of them agree in three of six blocks of
+bits, so the 20 choices of three blocks, of about 32 bits each, are keys that lose no pair.
+At similarity 0.8 a seventh of all bits differs, and no band of bits is both long enough for
+small buckets and short enough to be shared; there the keys of ``keep_one`` are minima of
+the shingles' hashes, four at a time.  They and the SimHash of 512 bits only propose pairs,
+which the sets of shingles decide.
 
 Only spanning links leave a bucket, never all its pairs.  Buckets over ``TILE`` members are
 cut into blocks, and pairs of blocks go to different tasks.
@@ -18,11 +21,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import NULL_ID, persist, shuffle_partitions, text_or_empty
 from .components import connected
@@ -243,89 +247,128 @@ def links_in(ids: np.ndarray, key: np.ndarray, block: np.ndarray, cross: np.ndar
     return ids[own], ids[label[own]]
 
 
-def candidates_in(ids: np.ndarray, part: np.ndarray, key: np.ndarray, block: np.ndarray, cross: np.ndarray, sketch: np.ndarray, radius: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different parts within the radius, the smaller id first: all of them, or near ones that span the components."""
+def candidates_in(ids: np.ndarray, key: np.ndarray, block: np.ndarray, cross: np.ndarray, sketch: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the radius that span the components, near ones first; the smaller id stands first."""
     order = np.lexsort((block, key))
-    ids, part, sketch = ids[order], part[order], sketch[order]
+    ids, sketch = ids[order], sketch[order]
     a = b = far = np.zeros(0, np.int64)
-    whole = [(a, b)]
     for all_x, all_y in pairs_in(key[order], block[order], cross[order], sketch, radius):
         for k in range(0, len(all_x), PAIRS):  # a large group has millions of pairs
             x, y = all_x[k : k + PAIRS], all_y[k : k + PAIRS]
-            apart = part[x] != part[y]
-            x, y = x[apart], y[apart]
-            if every:
-                whole.append((x, y))
-                continue
-            far = np.concatenate([far, np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)])
+            far = np.concatenate([far, distance(sketch, x, y)])
             a, b, far = forest(len(ids), np.concatenate([a, x]), np.concatenate([b, y]), far)
-    if every:
-        a, b = (np.concatenate(c) for c in zip(*whole, strict=True))
     return np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
 
 
-def tiles_of(items: DataFrame, words: int, bands: list[tuple[int, int]], sketch_from: int) -> DataFrame:
-    """The items once for each band and tile that they are compared in, with a group ``g`` of tiles."""
-    spark = items.sparkSession
+def distance(sketch: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(x), np.int64)
+    for c in range(sketch.shape[1]):
+        out += np.bitwise_count(sketch[x, c] ^ sketch[y, c])
+    return out
+
+
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is at least ``similarity``."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common >= similarity * (len(x) + len(y) - common) - 1e-9
 
-    def band(first: int, bits: int):
-        word, at = divmod(first, 64)
-        low = F.shiftrightunsigned(F.col("sig")[word], at)
-        if at + bits > 64:
-            low = low.bitwiseOR(F.shiftleft(F.col("sig")[word + 1], 64 - at))
-        return low.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-
-    if max(b for _, b in bands) > 48:
-        raise ValueError("bands take at most 48 bits")
-    keys = F.array(*[(F.lit(k).cast("long") * F.lit(1 << 48) + band(*b)) for k, b in enumerate(bands)])
-    rows = items.select("node", "part", F.slice("sig", sketch_from + 1, words - sketch_from).alias("sketch"), F.explode(keys).alias("key"))
+
+def joins_in(ids: np.ndarray, part: np.ndarray, sets: list[np.ndarray], key: np.ndarray, block: np.ndarray, cross: np.ndarray, sketch: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Alike pairs that join different parts; every pair within the radius is decided, near ones first, unless its parts have met."""
+    order = np.lexsort((block, key))
+    ids, sketch = ids[order], sketch[order]
+    label = np.unique(part[order], return_inverse=True)[1].tolist()
+    parent, size_u, size_v = list(range(max(label, default=-1) + 1)), [], []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for all_x, all_y in pairs_in(key[order], block[order], cross[order], sketch, radius):
+        for k in range(0, len(all_x), PAIRS):
+            x, y = all_x[k : k + PAIRS], all_y[k : k + PAIRS]
+            near_first = np.argsort(distance(sketch, x, y), kind="stable")
+            for i, j in zip(x[near_first].tolist(), y[near_first].tolist(), strict=True):
+                p, q = root(label[i]), root(label[j])
+                if p != q and alike(sets[order[i]], sets[order[j]], similarity):
+                    parent[max(p, q)] = min(p, q)
+                    size_u.append(i)
+                    size_v.append(j)
+    u, v = ids[np.array(size_u, np.int64)], ids[np.array(size_v, np.int64)]
+    return np.minimum(u, v), np.maximum(u, v)
+
+
+def tiles_of(items: DataFrame, *more: str) -> DataFrame:
+    """The items (``node``, ``sketch``, ``keys``) once for each key and tile that they are compared in, with a group ``g`` of tiles."""
+    spark = items.sparkSession
+    rows = items.select("node", *more, "sketch", F.explode("keys").alias("key"))
     blocks = F.ceil(F.col("n") / TILE).cast("int")
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE)
+    sizes = items.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE)
     # a table of its own, so that Spark knows its size: a small one spares dealing out the rows
-    large = persist(sizes.select(F.col("key").alias("of"), blocks.alias("blocks")), "large-buckets")
-    met = rows.join(large, F.col("key") == F.col("of"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    large = persist(sizes.select(F.col("key").alias("of"), "n", blocks.alias("blocks")), "large-buckets")
+    total = items.agg(F.sum(F.size("keys"))).first()[0] or 0
+    total += large.agg(F.sum(F.col("n") * (F.col("blocks") - 1))).first()[0] or 0
+    met = rows.join(large.drop("n"), F.col("key") == F.col("of"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     met = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tiles = met.select("node", "part", "sketch", "key", "block", other).withColumn("cross", F.col("other") != F.col("block"))
+    tiles = met.select("node", *more, "sketch", "key", "block", other).withColumn("cross", F.col("other") != F.col("block"))
     tile = F.struct(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    groups = max(shuffle_partitions(spark), items.count() * len(bands) // 50_000)
+    groups = max(shuffle_partitions(spark), total // 50_000)
     tiles = tiles.withColumn("tile", F.xxhash64("key", tile)).withColumn("g", F.pmod(F.col("tile"), F.lit(groups)))
-    return tiles.select("g", "node", "part", "tile", "block", "cross", "sketch")
+    return tiles.select("g", "node", "tile", "block", "cross", "sketch", *more)
 
 
-def component_roots(items: DataFrame, words: int, bands: list[tuple[int, int]], sketch_from: int, radius: int) -> DataFrame:
-    """``node`` and ``root`` for the items (``node`` long, ``sig`` longs) linked to another.
+def columns_of(table: pa.Table, *names: str) -> list[np.ndarray]:
+    """Columns as arrays, and the sketches as a matrix."""
+    get = [table.column(n).combine_chunks() for n in (*names, "sketch")]
+    sketch = get.pop().flatten().to_numpy().view(np.uint64)
+    return [x.to_numpy(zero_copy_only=False) for x in get] + [sketch.reshape(table.num_rows, -1)]
+
+
+def pairs_table(u: np.ndarray, v: np.ndarray) -> pa.Table:
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    ``bands`` are (first bit, bits) in the signature; items that share one are compared on
-    the signature from word ``sketch_from`` on.
-    """
-    wide = words - sketch_from
+
+def component_roots(items: DataFrame, radius: int) -> DataFrame:
+    """``node`` and ``root`` for the items (``node`` long, ``sketch`` longs, ``keys`` longs) linked to another."""
 
     def compare(table: pa.Table) -> pa.Table:
-        get = {n: table.column(n).combine_chunks() for n in ("node", "tile", "block", "cross", "sketch")}
-        sketch = get["sketch"].flatten().to_numpy().view(np.uint64).reshape(-1, wide)
-        u, v = links_in(
-            get["node"].to_numpy(), get["tile"].to_numpy(), get["block"].to_numpy(), get["cross"].to_numpy(zero_copy_only=False), sketch, radius
-        )
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        return pairs_table(*links_in(*columns_of(table, "node", "tile", "block", "cross"), radius))
 
-    tiles = tiles_of(items.withColumn("part", F.col("node")), words, bands, sketch_from).drop("part")
-    return connected(tiles.groupBy("g").applyInArrow(compare, "u long, v long"))
+    return connected(tiles_of(items).groupBy("g").applyInArrow(compare, "u long, v long"))
 
 
-def candidates(items: DataFrame, words: int, bands: list[tuple[int, int]], sketch_from: int, radius: int, every: bool) -> DataFrame:
-    """Distinct pairs ``u`` < ``v`` of items of different ``part`` that ``candidates_in`` finds in the tiles."""
-    wide = words - sketch_from
+def candidates(items: DataFrame, radius: int) -> DataFrame:
+    """Distinct pairs ``u`` < ``v`` of items that ``candidates_in`` finds in the tiles."""
 
     def compare(table: pa.Table) -> pa.Table:
-        get = {n: table.column(n).combine_chunks() for n in ("node", "part", "tile", "block", "cross", "sketch")}
-        sketch = get["sketch"].flatten().to_numpy().view(np.uint64).reshape(-1, wide)
-        plain = (get[n].to_numpy(zero_copy_only=False) for n in ("node", "part", "tile", "block", "cross"))
-        u, v = candidates_in(*plain, sketch, radius, every)
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        return pairs_table(*candidates_in(*columns_of(table, "node", "tile", "block", "cross"), radius))
+
+    return tiles_of(items).groupBy("g").applyInArrow(compare, "u long, v long").distinct()
 
-    tiles = tiles_of(items, words, bands, sketch_from)
-    return tiles.groupBy("g").applyInArrow(compare, "u long, v long").distinct()
+
+def joins(items: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Distinct pairs ``u`` < ``v`` of alike items (with ``part`` and ``set``) that join different parts."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
+        node, part, *rest = columns_of(table, "node", "part", "tile", "block", "cross")
+        return pairs_table(*joins_in(node, part, sets, *rest, radius, similarity))
+
+    return tiles_of(items, "part", "set").groupBy("g").applyInArrow(compare, "u long, v long").distinct()
+
+
+def block_keys(fp: str, radius: int) -> Column:
+    """Keys of which fingerprints within the radius share one: ``radius`` of twice as many blocks of bits."""
+    edges = [64 * k // (2 * radius) for k in range(2 * radius + 1)]
+    masks = [((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:], strict=False)]
+    chosen = [sum(c) for c in combinations(masks, radius)]
+    return F.array(*[F.xxhash64(F.lit(k), F.col(fp).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for k, m in enumerate(chosen)])
 
 
 def fingerprints_linked(docs: DataFrame, shingle: int = 3, radius: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -338,9 +381,8 @@ def fingerprints_linked(docs: DataFrame, shingle: int = 3, radius: int = 3, id_c
     """
     rows = persist(signatures(docs, shingle, 1, id_column, text_column).select("doc_id", F.col("sig")[0].alias("fp")), "fingerprints")
     nodes = persist(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    edges = [64 * k // (radius + 1) for k in range(radius + 2)]
-    bands = [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
-    roots = component_roots(nodes.select(F.col("fp").alias("node"), F.array("fp").alias("sig")), 1, bands, 0, radius)
+    keys = block_keys("fp", radius) if radius else F.array("fp")
+    roots = component_roots(nodes.select(F.col("fp").alias("node"), F.array("fp").alias("sketch"), keys.alias("keys")), radius)
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = persist(named, "named")
     names = named.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -349,10 +391,24 @@ def fingerprints_linked(docs: DataFrame, shingle: int = 3, radius: int = 3, id_c
     return rows.join(known, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Bands of the long signature: a seventh of its bits is expected to differ at similarity 0.8.
-LONG_BANDS = [(14 * k, 14) for k in range(40)]
-BAND_WORDS = 9
-SKETCH_WORDS = 4
+#: Keys of ``keep_one``, each of so many minima, and the words of its SimHash.
+KEYS, MINIMA, SKETCH_WORDS = 12, 4, 8
+_FACTORS = (np.arange(1, KEYS * MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def minimum_keys(own: np.ndarray) -> np.ndarray:
+    """Keys of a set of hashes: two sets of similarity s share one of them with a chance of 1 - (1 - s^4)^12."""
+    least = np.full(KEYS * MINIMA, ONES)
+    for k in range(0, len(own), 4096):
+        x = own[k : k + 4096, None] * _FACTORS
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        least = np.minimum(least, x.min(axis=0))
+    out = np.arange(1, KEYS + 1, dtype=np.uint64)
+    for column in least.reshape(KEYS, MINIMA).T:
+        out = (out ^ column) * np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(29)
+    return out
 
 
 def radius_for(similarity: float, bits: int) -> int:
@@ -361,28 +417,50 @@ def radius_for(similarity: float, bits: int) -> int:
     return math.ceil(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
 
 
-SETS = T.StructType(
-    [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("key", T.BinaryType()), T.StructField("sig", T.ArrayType(T.LongType()))]
-)
+ADDED = [("key", T.BinaryType()), ("sketch", T.ArrayType(T.LongType())), ("keys", T.ArrayType(T.LongType()))]
 
 
-def shingle_sets(docs: DataFrame, shingle: int, words: int, id_column: str, text_column: str) -> DataFrame:
-    """``doc_id``, ``text``, the digest ``key`` of the set of shingles and the set's SimHash ``sig``."""
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
+def longs(rows: list[np.ndarray], size: int) -> pa.Array:
+    """Lists of ``size`` longs each; none for None."""
+    flat = np.concatenate([x for x in rows if x is not None] or [np.zeros(0, np.uint64)]).view(np.int64)
+    edges = np.concatenate([[0], np.cumsum([0 if x is None else size for x in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(flat), mask=pa.array([x is None for x in rows], pa.bool_()))
+
+
+def shingle_sets(docs: DataFrame, shingle: int, text: int) -> DataFrame:
+    """The columns of ``docs``, and of the set of shingles of column number ``text`` a digest ``key``, the SimHash ``sketch`` and the search ``keys``.
+
+    A text without a word has none of the three.
+    """
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(*x) for x in ADDED)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sigs = [], []
-            for t in batch.column(1).to_pylist():
-                own = np.unique(shingle_hashes(t, shingle))
-                keys.append(xxhash.xxh3_128_digest(own.tobytes(), SEED))
-                sigs.append(majority(spread(own, words)))
-            if sigs:
-                flat = np.concatenate(sigs).view(np.int64)
-                sig = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * words, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), sig], SETS.names)
+            digest, sketch, keys = [], [], []
+            for t in batch.column(text).to_pylist():
+                own = np.unique(shingle_hashes(t or "", shingle))
+                some = len(own) > 0
+                digest.append(xxhash.xxh3_128_digest(own.tobytes(), SEED) if some else None)
+                sketch.append(majority(spread(own, SKETCH_WORDS)) if some else None)
+                keys.append(minimum_keys(own) if some else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digest, pa.binary()), longs(sketch, SKETCH_WORDS), longs(keys, KEYS)], schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def with_sets(items: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """The items with their sets of shingles as sorted hashes side by side in ``set``."""
+    met = items.join(texts, "node")
+    at = met.columns.index("text")
+    names = [c for c in met.columns if c != "text"]
+    schema = T.StructType([*(f for f in met.schema.fields if f.name != "text"), T.StructField("set", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(sets, pa.binary())], schema.names)
 
-    return rows.mapInArrow(run, SETS)
+    return met.mapInArrow(run, schema)
 
 
 def decided(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -395,17 +473,15 @@ def decided(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v = (batch.column(k).to_pylist() for k in (0, 1))
-            alike, held = [], {}
+            good, held = [], {}
             for i, j, a, b in zip(u, v, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if len(held) > 256:
                     held.clear()
                 for node, text in ((i, a), (j, b)):
                     if node not in held:
                         held[node] = np.unique(shingle_hashes(text, shingle))
-                x, y = held[i], held[j]
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                alike.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.bool_())], ["u", "v", "alike"])
+                good.append(alike(held[i], held[j], similarity))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["u", "v", "alike"])
 
     return met.select("u", "v", "a", "b").mapInArrow(run, "u long, v long, alike boolean")
 
@@ -415,28 +491,29 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_colu
 
     Two documents are linked if the Jaccard similarity of their sets of shingles of
     ``shingle`` words, compared shingle by shingle, is at least ``similarity``; groups are the
-    components of these links.  Signatures of 832 bits only propose pairs: 560 bits in 40
-    bands for the search, which finds a pair of similarity 0.8 with a chance of 0.98 and one
-    of 0.9 with 0.9999, and 256 bits whose radius lies three deviations above what 0.8 is
-    expected to differ in.
+    components of these links.  Search keys and SimHashes only propose pairs: a key is shared
+    with a chance of 0.998 at similarity 0.8 and of almost 1 at 0.9, and the radius of the
+    512 bits lies three deviations above what 0.8 is expected to differ in.
 
     First only near pairs that span the proposed components are decided.  Where that leaves a
-    component in several parts, all other proposed pairs between its parts are decided too, so
-    no link that would join them is passed over; these pairs grow with the square of a group
-    whose members are just below ``similarity``.
+    component in several parts, all proposed pairs between its parts are decided where they
+    were found, until their parts have met, so no link that would join them is passed over.
 
-    Of rows with equal ids all stay or go together, a null id comes last, and documents
-    without a word are left as they are: they have no shingles to be alike in.  All columns
-    are returned.
+    Each row is judged by itself: of rows with equal or null ids and unlike texts all stay, a
+    null id comes last, and of rows with the same text and id one stays.  Documents without a
+    word are left as they are: they have no shingles to be alike in.  All columns are
+    returned; an empty table gives no rows.
     """
-    words, radius = BAND_WORDS + SKETCH_WORDS, radius_for(similarity, 64 * SKETCH_WORDS)
-    rows = shingle_sets(docs.filter(text_or_empty(text_column).rlike(r"[^\x20\x09-\x0D]")), shingle, words, id_column, text_column)
+    radius, columns = radius_for(similarity, 64 * SKETCH_WORDS), docs.columns
+    plain = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(columns)])
+    text, doc = f"c{columns.index(text_column)}", F.coalesce(F.col(f"c{columns.index(id_column)}").cast("long"), F.lit(NULL_ID))
     # numbers given once, in a table: one row stands for all of an equal set
-    rows = persist(rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("node", F.monotonically_increasing_id()), "signatures")
-    nodes = persist(rows.groupBy("key", "sig").agg(F.min("doc_id").alias("first"), F.min("node").alias("node")), "distinct")
-    items = nodes.select("node", "sig")
-    near_pairs = persist(candidates(items.withColumn("part", F.col("node")), words, LONG_BANDS, BAND_WORDS, radius, False), "candidates")
-    links = persist(decided(near_pairs, rows, shingle, similarity), "decided")
+    rows = persist(shingle_sets(plain, shingle, columns.index(text_column)).withColumn("node", F.monotonically_increasing_id()), "signatures")
+    sets = rows.filter("key IS NOT NULL").select("key", F.struct(doc.alias("doc"), "node").alias("row"), "sketch", "keys")
+    nodes = sets.groupBy("key").agg(F.min("row").alias("first"), F.any_value("sketch").alias("sketch"), F.any_value("keys").alias("keys"))
+    nodes = persist(nodes.select(F.col("first.node").alias("node"), "first", "sketch", "keys"), "distinct")
+    items, texts = nodes.select("node", "sketch", "keys"), rows.select("node", F.coalesce(text, F.lit("")).alias("text"))
+    links = persist(decided(persist(candidates(items, radius), "candidates"), texts, shingle, similarity), "decided")
     good = links.filter("alike").select("u", "v")
     failed = links.filter("NOT alike").select("u", "v")
     if not failed.isEmpty():
@@ -445,13 +522,10 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_colu
         ends = ends.select(F.coalesce("pu", "u").alias("pu"), F.coalesce("pv", "v").alias("pv")).filter("pu <> pv")
         # every part of a component that fell apart lies at a failed pair
         open_parts = persist(ends.select(F.col("pu").alias("open")).union(ends.select("pv")).distinct(), "open-parts")
-        rest = items.join(parts, "node", "left").withColumn("part", F.coalesce("root", "node")).join(open_parts, F.col("part") == F.col("open"), "left_semi").select("node", "sig", "part")
-        others = candidates(persist(rest, "open"), words, LONG_BANDS, BAND_WORDS, radius, True).join(failed, ["u", "v"], "left_anti")
-        good = good.union(persist(decided(persist(others, "candidates"), rows, shingle, similarity).filter("alike").select("u", "v"), "decided"))
-    first = nodes.select("node", "first")
-    named = good.join(first.select(F.col("node").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("node").alias("v"), F.col("first").alias("b")), "v")
-    roots = connected(named.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    # equal sets: all but the first go; of linked ones, all but the root go
-    copies = rows.select("doc_id", "key").join(nodes.select(F.col("key").alias("of"), "first"), F.col("key") == F.col("of")).filter(F.col("doc_id") != F.col("first")).select("doc_id")
-    gone = persist(copies.union(roots.select("node")).distinct(), "copies")
-    return docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)) == F.col("_gone"), "left_anti")
+        rest = items.join(parts, "node", "left").withColumn("part", F.coalesce("root", "node")).join(open_parts, F.col("part") == F.col("open"), "left_semi").select("node", "part", "sketch", "keys")
+        good = good.union(persist(joins(persist(with_sets(rest, texts, shingle), "open"), radius, similarity), "joins"))
+    roots = nodes.select("node", "first").join(connected(good), "node", "left").select("first", F.coalesce("root", "node").alias("root"))
+    stay = persist(roots.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.node").alias("stays")), "staying")
+    wordless = rows.filter("key IS NULL")
+    kept = rows.filter("key IS NOT NULL").join(stay, F.col("node") == F.col("stays"), "left_semi").unionByName(wordless)
+    return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)])

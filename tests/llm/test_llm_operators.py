@@ -425,3 +425,42 @@ def test_image_copies(spark):
     got = sorted((x.query_id, x.match_id, x.query_copies) for x in image_copies.find_copies(df).collect())
     assert got == [(0, 1, 2), (100, 101, 2), (200, 201, 2)]
     assert image_copies.find_copies(spark.createDataFrame([], "image_id long, media binary")).collect() == []
+
+
+def test_block_keys_lose_no_near_fingerprint(spark, dice):
+    rows = []
+    for k in range(300):
+        x = dice.getrandbits(64)
+        y = x
+        for bit in dice.sample(range(64), 3):
+            y ^= 1 << bit
+        rows += [(2 * k, x - (1 << 64) if x >> 63 else x), (2 * k + 1, y - (1 << 64) if y >> 63 else y)]
+    keys = {r.k: set(r.keys) for r in spark.createDataFrame(rows, "k long, fp long").select("k", simhash.block_keys("fp", 3).alias("keys")).collect()}
+    assert len(keys[0]) == 20 and all(keys[2 * k] & keys[2 * k + 1] for k in range(300))
+    assert sum(bool(keys[2 * k] & keys[2 * k + 2]) for k in range(299)) == 0  # others share none
+
+
+def test_joins_inside_a_bucket_equal_brute_force():
+    r = np.random.default_rng(6)
+    base = np.unique(r.integers(0, 1 << 60, 150).astype(np.uint64))
+    sets = []
+    for _ in range(240):  # a cloud of copies around the limit
+        own = base.copy()
+        own[r.random(len(own)) < r.uniform(0, 0.2)] = r.integers(0, 1 << 60)
+        sets.append(np.unique(np.where(r.random(len(own)) < 0.1, r.integers(0, 1 << 60, len(own)).astype(np.uint64), own)))
+    sketch = np.array([simhash.majority(simhash.spread(s, 8)) for s in sets])
+    part, n = np.arange(240) // 3 * 3, len(sets)
+    same = np.array([[len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) for b in sets] for a in sets])
+    assert all(simhash.alike(sets[i], sets[j], 0.8) == same[i, j] for i in range(40) for j in range(40))
+    u, v = simhash.joins_in(np.arange(n), part, sets, np.zeros(n, int), np.zeros(n, int), np.zeros(n, bool), sketch, simhash.radius_for(0.8, 512), 0.8)
+    assert same[u, v].all()
+    want = simhash.spanning(n, [np.nonzero(same), (np.arange(n), part)])
+    got = simhash.spanning(n, [(u, v), (np.arange(n), part)])
+    assert (want == got).mean() >= 0.98  # the radius passes a pair at 0.8 with a chance of 0.998
+
+
+def test_rows_without_ids_are_judged_one_by_one(documents):
+    text = " ".join(f"w{j}" for j in range(60))
+    rows = [(1, text), (None, text + " more"), (None, " ".join(f"v{j}" for j in range(60))), (None, "short"), (None, None), (7, "same id a b c d e"), (7, "other text f g h i")]
+    kept = sorted((r.doc_id or 0, r.text or "") for r in simhash.keep_one(documents(rows)).collect())
+    assert kept == sorted((d or 0, t or "") for k, (d, t) in enumerate(rows) if k != 1)
