@@ -413,18 +413,52 @@ def test_shapes_without_free_surrogates(documents):
     assert all(x.startswith("token=") and x.endswith(" end") for x in new[:10])
 
 
-def test_image_copies(spark):
-    rows, r = [], np.random.default_rng(2)
-    for k in range(30):
+def turned(x, degrees):
+    t = np.deg2rad(degrees)
+    yy, xx = np.mgrid[: x.shape[0], : x.shape[1]] - np.array([x.shape[0] / 2, x.shape[1] / 2])[:, None, None]
+    sy, sx = np.cos(t) * yy - np.sin(t) * xx + x.shape[0] / 2, np.sin(t) * yy + np.cos(t) * xx + x.shape[1] / 2
+    return x[np.clip(np.rint(sy).astype(int), 0, x.shape[0] - 1), np.clip(np.rint(sx).astype(int), 0, x.shape[1] - 1)]
+
+
+def crop(x, n, r):
+    i, j = r.integers(0, x.shape[0] - n + 1, 2)
+    return x[i : i + n, j : j + n]
+
+
+def test_image_copies_of_each_kind_are_found(spark):
+    r = np.random.default_rng(2)
+    edits = [
+        lambda x: crop(x, 48, r),
+        lambda x: crop(x, 60, r) + r.normal(0, 4, (60, 60)),
+        lambda x: np.rot90(x).copy(),
+        lambda x: turned(x, 30),
+        lambda x: image_copies.resized(x, 0.8),
+        lambda x: image_copies.resized(x, 1.5),
+        lambda x: x + r.normal(0, 8, x.shape),
+        lambda x: 255 * (x.clip(0, 255) / 255) ** 1.5,
+        lambda x: image_copies.edited(x, int(r.integers(1 << 30))),
+    ]
+    n, rows = 24, []
+    for k in range(n * len(edits)):
         picture = image_copies.drawn(k)
-        rows.append((k * 10, image_copies.encode(picture)))
-        if k % 10 == 0:
-            rows += [(k * 10 + 1, image_copies.encode(image_copies.edited(picture, 5))), (k * 10 + 2, image_copies.encode(picture))]
-    rows += [(7, None), (8, b"junk"), (None, rows[0][1]), (9, b"P5 3 3 255\n" + bytes(9))]
-    df = spark.createDataFrame(rows, "image_id long, media binary")
-    got = sorted((x.query_id, x.match_id, x.query_copies) for x in image_copies.find_copies(df).collect())
-    assert got == [(0, 1, 2), (100, 101, 2), (200, 201, 2)]
-    assert image_copies.find_copies(spark.createDataFrame([], "image_id long, media binary")).collect() == []
+        rows += [(100 * k, image_copies.encode(picture)), (100 * k + 1, image_copies.encode(edits[k // n](picture)))]
+    rows += [(2, rows[0][1]), (7, None), (8, b"junk"), (None, rows[0][1]), (9, b"P5 3 3 255\n" + bytes(9)), (1, rows[1][1])]
+    df = spark.createDataFrame([(*x, "y") for x in rows], "image_id long, media binary, key string").repartition(4)
+    got = {(x.query_id, x.match_id): (x.query_copies, x.match_copies) for x in image_copies.find_copies(df).collect()}
+    own = [sum((100 * k, 100 * k + 1) in got for k in range(n * e, n * e + n)) / n for e in range(len(edits))]
+    assert min(own) >= 0.9, own
+    assert got[0, 1] == (2, 2)
+    # what the search finds is what comparing all pairs finds
+    plain = {i: image_copies.describe(image_copies.decode(m)) for i, m in rows[: 2 * n * len(edits)]}
+    want = {(i, j) for i in list(plain)[: 4 * n : 2] for j in plain if i != j and image_copies.consensus(*plain[i], *plain[j])[1] >= image_copies.AGREE}
+    mine = {(i, j) for i, j in got if i in list(plain)[: 4 * n : 2]}
+    assert mine <= want and len(mine) >= 0.9 * len(want), (mine ^ want)
+
+
+def test_no_images(spark):
+    for kind in ("image_id long, media binary", "image_id long, media binary, node string"):
+        assert image_copies.find_copies(spark.createDataFrame([], kind)).collect() == []
+
 
 
 def test_block_keys_lose_no_near_fingerprint(spark, dice):
