@@ -379,7 +379,7 @@ def test_personal_data(documents):
     docs = documents(list(enumerate(texts)) + [(9, texts[1])])
     out = pii_surrogates.replace(docs, length_column="n_chars", count_column="n")
     rows = {r.doc_id: r for r in out.collect()}
-    assert [rows[k].n for k in range(6)] == [3, 2, 3, 3, 3, 0]
+    assert [rows[k].n for k in range(6)] == [3, 2, 3, 3, 5, 0]
     assert rows[5].text == texts[5] and rows[9].text == rows[1].text
     for k in range(5):
         assert rows[k].text != texts[k] and rows[k].n_chars == len(rows[k].text)
@@ -396,6 +396,47 @@ def test_personal_data(documents):
     assert any("а" <= c <= "я" for c in rows[4].text)
 
 
+def test_hard_texts_for_patterns(documents):
+    import time
+
+    texts = ["x@" + "b." * 3000 + "com", "a" * 1_000_000 + " 1", "a." * 200_000 + "@", "token=" + "*" * 300_000, "1 " * 100_000, "b@" * 50_000]
+    began = time.time()
+    rows = {r.doc_id: r.text for r in pii_surrogates.replace(documents(list(enumerate(texts)))).collect()}
+    assert [rows[k] == texts[k] for k in range(1, 5)] == [True] * 4 and time.time() - began < 60
+
+
+def test_names_stay_one_persons_names(documents):
+    texts = [
+        "Mr. Smith said that John Smith, or Smith, is not Smithson. Mr John Smith left.",
+        "Dr. Ada Byron and PROF. Nobody; MRS JONES, then JONES; Mr. O'Neil-Brown",
+        "John Smith without any form of address",
+        "Госпожа Анна Иванова и Иванова",
+    ]
+    out = [r.text for r in sorted(pii_surrogates.replace(documents(list(enumerate(texts)))).collect(), key=lambda r: r.doc_id)]
+    words = out[0].replace(",", "").replace(".", "").split()
+    surname, given = words[1], words[4]
+    assert surname != "Smith" and given != "John" and words[5] == surname and words[7] == surname and words[10] == "Smithson" and words[12:14] == [given, surname]
+    assert not any(x in out[1] for x in ("Ada", "Byron", "JONES", "Neil", "Brown")) and out[1].split("; ")[1].split()[1].rstrip(",").isupper()
+    assert out[2] == texts[2]
+    last = out[3].split()
+    assert last[2] == last[4] and last[2][-1] in "ая" and last[2] != "Иванова"
+
+
+def test_surrogates_pass_the_checks_of_their_kind(documents):
+    texts = ["DE89370400440532013000 or DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "+49 (743) 555-3824 and +1 743 555 3824 and 743-555-3824"]
+    texts += [f"u@{a}{b}.example.com" for a in "ab" for b in "cd"] + [f"w@{a}.io" for a in "abcdefghijklmnopqrstuvwxyz"]
+    rows = {r.doc_id: r.text for r in pii_surrogates.replace(documents(list(enumerate(texts)))).collect()}
+    for k, at in ((0, slice(0, 22)), (1, slice(0, 40))):
+        x = rows[k][at].replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1 and rows[k] != texts[k]
+    assert rows[0].split(" or ")[1].replace(" ", "") == rows[0].split(" or ")[0]
+    a, b, c = rows[2].split(" and ")
+    digits = lambda x: "".join(y for y in x if y.isdigit())
+    assert a.startswith("+49 (") and b.startswith("+1 ") and digits(b)[1:] == digits(c) != digits(a)[2:]
+    domains = [rows[k].split("@")[1] for k in range(3, len(texts))]
+    assert len(set(domains)) == len(domains) and not set(domains) & {t.split("@")[1] for t in texts[3:]}
+
+
 def test_surrogates_are_distinct(spark):
     df = spark.createDataFrame([("ssn", f"{k:09d}") for k in range(4000)] + [("ip", f"1.1.{k // 250}.{k % 250}") for k in range(2000)], "kind string, norm string")
     rows = pii_surrogates.surrogates(df).collect()
