@@ -450,7 +450,7 @@ def shingle_sets(docs: DataFrame, shingle: int, text: int) -> DataFrame:
 
 def with_sets(items: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """The items with their sets of shingles as sorted hashes side by side in ``set``."""
-    met = items.join(texts, "node")
+    met = items.hint("merge").join(texts, "node")
     at = met.columns.index("text")
     names = [c for c in met.columns if c != "text"]
     schema = T.StructType([*(f for f in met.schema.fields if f.name != "text"), T.StructField("set", T.BinaryType())])
@@ -467,8 +467,8 @@ def decided(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     """The pairs with ``alike``: whether the Jaccard similarity of the sets of shingles is at least ``similarity``."""
     ends = pairs.select(F.col("u").alias("end")).union(pairs.select("v")).distinct()
     # tables, so that a member of many pairs can be split in the joins
-    own = persist(texts.join(ends, F.col("node") == F.col("end"), "left_semi").select("node", "text"), "pair-texts")
-    met = pairs.join(own.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+    own = persist(texts.join(ends.hint("merge"), F.col("node") == F.col("end"), "left_semi").select("node", "text"), "pair-texts")
+    met = pairs.hint("merge").join(own.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").hint("merge").join(own.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -499,6 +499,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_colu
     component in several parts, all proposed pairs between its parts are decided where they
     were found, until their parts have met, so no link that would join them is passed over.
 
+    Joins with texts are merged whatever the sizes, so that small inputs run as large ones do.
+
     Each row is judged by itself: of rows with equal or null ids and unlike texts all stay, a
     null id comes last, and of rows with the same text and id one stays.  Documents without a
     word are left as they are: they have no shingles to be alike in.  All columns are
@@ -527,5 +529,5 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_colu
     roots = nodes.select("node", "first").join(connected(good), "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     stay = persist(roots.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.node").alias("stays")), "staying")
     wordless = rows.filter("key IS NULL")
-    kept = rows.filter("key IS NOT NULL").join(stay, F.col("node") == F.col("stays"), "left_semi").unionByName(wordless)
+    kept = rows.filter("key IS NOT NULL").join(stay.hint("merge"), F.col("node") == F.col("stays"), "left_semi").unionByName(wordless)
     return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)])
