@@ -153,7 +153,7 @@ JOBS = (
     ("后端", r"(?i)后端|服务端|后台|全栈|Java|Golang|Go\b|C\+\+|Python|开发工程师"),
 )
 COMPANY_NOISE = r"面试|笔试|机试|面经|测评|秋招|春招|校招|社招|实习|暑期|提前批|正式批|内推|offer|Offer|一面|二面|三面|四面|hr|HR|招聘|岗位|简历|大厂|小厂|小公司|某公司|公司|面试官|后续|分享|记录|总结|经验|流程|收到|有人|怎么|如何|为什么|挂了|凉了|求助|请问|大家"
-COMPANY_PUNCTUATION = r"[，。！？；：、,.!?;:/\\|_（）()【】\[\]{}<>《》“”'']"
+COMPANY_PUNCTUATION = r"[，。！？；：、,.!?;:/\\|_（）()【】\[\]{}<>《》\"\"'']"
 SENTENCE_PUNCTUATION = r"[，。！？；、,.!?;~～…]|了$|吗$|吧$|呢$"
 LEADING_DIGITS = r"^\d{2,4}(?:\.\d{1,2})?"
 ANY_LETTER = r"[A-Za-z\p{Han}]"

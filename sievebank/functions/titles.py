@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import rules as R
 from .regex import any_of, found, group, java, replaced, trim
@@ -50,6 +50,11 @@ def dictionary(names: list[str]) -> list[str]:
     return sorted(seen.values(), key=lambda n: (-len(n.encode()), n))
 
 
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """Names of companies (``name``) from a text file, one a line; blank lines and those behind ``#`` are left out."""
+    return spark.read.text(path).select(trim(F.col("value")).alias("name")).filter("name <> '' AND NOT startswith(name, '#')").distinct()
+
+
 def learned(names: list[str]) -> list[str]:
     """Names seen in posts that may join the dictionary: no generic word, and with a letter."""
     letter = re.compile("[A-Za-z一-鿿㐀-䶿]")
@@ -57,22 +62,48 @@ def learned(names: list[str]) -> list[str]:
 
 
 def company_in(title: Column, names: list[str]) -> Column:
-    """The longest dictionary name that the title holds; an ASCII name must stand alone at its first place."""
-    low = F.lower(title)
-    out = F.lit("")
-    for name in reversed(dictionary(names)):
-        n = name.lower()
-        hit = low.contains(n)
-        if n.isascii():
-            at = F.instr(low, n)
-            around = F.concat(F.substring(low, at - 1, F.lit(1)), F.lit(" "), F.substring(low, at + len(n), F.lit(1)))
-            around = F.when(at == 1, F.concat(F.lit(" "), F.substring(low, at + len(n), F.lit(1)))).otherwise(around)
-            hit = hit & ~around.rlike("[a-z0-9]")
-        out = F.when(hit, F.lit(name)).otherwise(out)
-    return out
-
-
-def guess_company(title: Column, names: list[str], may_guess: Column) -> Column:
+    """The longest dictionary name that the title holds; an ASCII name must stand alone at its first place.
+
+    For a short list; ``known_companies`` joins a table of names of any size.
+    """
+    low, known = F.lower(title), dictionary(names)
+    if not known:
+        return F.lit("")
+    table = F.arrays_zip(F.array(*[F.lit(n.lower()) for n in known]).alias("low"), F.array(*map(F.lit, known)).alias("name"))
+    held = F.filter(table, lambda d: low.contains(d["low"]) & stands_alone(low, d["low"], F.instr(low, d["low"])))
+    return F.coalesce(F.get(held, F.lit(0))["name"], F.lit(""))
+
+
+def stands_alone(low: Column, name: Column, at: Column) -> Column:
+    """Whether no ASCII letter or digit touches an ASCII name at its place."""
+    before = F.when(at > 1, F.substring(low, at - 1, F.lit(1))).otherwise(F.lit(" "))
+    around = F.concat(before, F.lit(" "), F.substring(low, at + F.char_length(name), F.lit(1)))
+    return name.rlike(r"[^\x00-\x7F]") | ~around.rlike("[a-z0-9]")
+
+
+def known_companies(titles: DataFrame, names: DataFrame) -> DataFrame:
+    """``key`` and ``known``, the longest of ``names`` (``name``) in each title (``key``, ``title``) that holds one.
+
+    Every substring of a name's possible length meets the names in an equality join, so
+    neither table needs to fit anywhere; longer names in bytes go first, ties by name.
+    """
+    name = trim(F.col("name"))
+    words = names.select(name.alias("name")).filter(looks_like_company(F.col("name"))).groupBy(F.lower("name").alias("low")).agg(F.min("name").alias("name"))
+    low = F.lower("title")
+    grams = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), F.char_length(low)),
+            lambda i: F.transform(F.sequence(F.lit(2), F.least(F.lit(14), F.char_length(low) - i + 1)), lambda n: F.struct(i.alias("at"), F.substring(low, i, n).alias("gram"))),
+        )
+    )
+    long = titles.filter(F.char_length("title") >= 2).select("key", low.alias("whole"), F.explode(F.filter(grams, lambda g: F.char_length(g["gram"]) >= 2)).alias("g"))
+    met = long.select("key", "whole", "g.*").join(words, F.col("gram") == F.col("low"))
+    first = F.instr(F.col("whole"), F.col("gram")) == F.col("at")
+    good = met.filter(first & stands_alone(F.col("whole"), F.col("gram"), F.col("at")))
+    return good.groupBy("key").agg(F.min_by("name", F.struct(-F.octet_length("name"), "name")).alias("known"))
+
+
+def guess_company(title: Column, known: Column, may_guess: Column) -> Column:
     """A dictionary name, or else what stands before the first round word once role words are taken out."""
     places = [F.regexp_instr(title, F.lit(java(p))) for _, p in R.ROUNDS]
     cut = F.least(*[F.when(p > 0, p).otherwise(F.lit(1 << 30)) for p in places])
@@ -82,17 +113,19 @@ def guess_company(title: Column, names: list[str], may_guess: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(bare, r"[\s\p{Z}\x{85}]+", ""), EDGE_MORE, "")
     bare = replaced(bare, R.LEADING_DIGITS)
     good = found(bare, R.ANY_LETTER) & ~bare.isin(*R.GENERIC_WORDS) & ~is_generic(bare) & (F.char_length(bare) >= 3) & looks_like_company(bare)
-    known = company_in(title, names)
     return F.when(known != "", known).when(may_guess & ~bad & good, bare).otherwise(F.lit(""))
 
 
-def parse_title(title: Column, names: list[str] | tuple[str, ...] = COMPANIES) -> Column:
-    """struct<company, job, round> of a title: the exact form first, then the loose rules."""
+def parse_title(title: Column, names: list[str] | tuple[str, ...] = COMPANIES, known: Column | None = None) -> Column:
+    """struct<company, job, round> of a title: the exact form first, then the loose rules.
+
+    ``known`` is the dictionary's name in the title, blank for none, if it has been joined already.
+    """
     title = trim(title)
     c, j, r = strict(title)
     exact = (c != "") | (r != "")
     trusted = (c != "") & looks_like_company(c) & found(c, R.ANY_LETTER) & ~is_generic(c)
-    guessed = guess_company(title, list(names), (r != "") | (round_of(title) != ""))
+    guessed = guess_company(title, company_in(title, list(names)) if known is None else known, (r != "") | (round_of(title) != ""))
     return F.struct(
         F.when(exact & trusted, c).otherwise(guessed).alias("company"),
         F.when(j != "", j).otherwise(job_of(title)).alias("job"),

@@ -10,9 +10,10 @@ from ..sources.snapshot import kept
 def upsert(old: DataFrame, new: DataFrame, key: str, sticky: tuple[str, ...] = ()) -> DataFrame:
     """The newest row of each key; a blank in a ``sticky`` column does not displace what was there."""
     both = old.withColumn("_seq", F.lit(0)).unionByName(new.withColumn("_seq", F.lit(1)))
-    own = Window.partitionBy(key).orderBy("_seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = Window.partitionBy(key).orderBy("_seq", *[F.asc(c) for c in new.columns if c != key]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     kept = {c: F.coalesce(F.last(F.when(F.col(c) != "", F.col(c)), ignorenulls=True).over(own), F.col(c)) for c in sticky}
-    newest = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_seq")))
+    # several new rows of a key: the largest by its columns, whatever order they came in
+    newest = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_seq"), *[F.desc(c) for c in new.columns if c != key]))
     return both.withColumns(kept | {"_newest": newest}).filter("_newest = 1").drop("_seq", "_newest")
 
 
@@ -29,11 +30,19 @@ def without(posts: DataFrame, occurrences: DataFrame, gone: DataFrame) -> tuple[
 
 
 def stratified(rows: DataFrame, stratum: str, key: str, n: int, seed: int = 20260913) -> DataFrame:
-    """``n`` divided by the number of strata from each, the same ones for the same seed."""
+    """``n`` rows: ``n`` divided by the number of strata from each, and the rest by ``key`` from what is left.
+
+    The same ones for the same seed: a stratum's rows are taken by the MD5 of seed and key.
+    """
     strata = rows.agg(F.count_distinct(stratum).alias("k")).first()["k"]
-    each = n // strata if strata else 0
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), key), key))
-    return rows.withColumn("_rank", rank).filter(F.col("_rank") <= each).drop("_rank")
+    each = n // max(1, strata)
+    draw = F.md5(F.encode(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), "UTF-8"))
+    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(draw, key))
+    ranked = kept(rows.withColumn("_rank", rank), "strata")
+    own = ranked.filter(F.col("_rank") <= each)
+    short = n - own.count()
+    rest = ranked.filter(F.col("_rank") > each).orderBy(key).limit(max(0, short))
+    return own.unionByName(rest).drop("_rank")
 
 
 def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:

@@ -122,7 +122,7 @@ def _companies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sample(spark: SparkSession, d: str) -> DataFrame:
-    return ma.stratified(b.questions(spark, d, False), "category", "id", 60).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return ma.stratified(b.questions(spark, d, False), "category", "id", 60).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
 def _batches(spark: SparkSession, d: str) -> DataFrame:
@@ -211,7 +211,9 @@ SELECT question_id, n, least(6, (SELECT count(*) FROM occ o WHERE o.question_id
         "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 1 THEN 'new' ELSE c_name END AS author_name, CASE WHEN c_custkey % 5 < 2 THEN 'changed' ELSE c_mktsegment END AS title FROM customer",
     ),
     "companies": (_companies, f"{STAR} SELECT DISTINCT company FROM posts WHERE company <> ''"),
-    "stratified_sample": (_sample, "WITH c AS (SELECT p_brand AS category, count(*) AS have FROM part GROUP BY 1), k AS (SELECT count(*) AS k FROM c) SELECT category, CAST(least(have, 60 // k) AS BIGINT) AS n FROM c, k"),
+    "stratified_sample": (_sample, "WITH r AS (SELECT p_partkey AS id, p_brand AS category, row_number() OVER (PARTITION BY p_brand ORDER BY md5('20260913:' || p_partkey), p_partkey) AS r, 60 // (SELECT count(DISTINCT p_brand) FROM part) AS per FROM part),"
+        " s AS (SELECT *, r <= per AS own, count(*) FILTER (r <= per) OVER () AS have, row_number() OVER (PARTITION BY r <= per ORDER BY id) AS place FROM r)"
+        " SELECT category, count(*) AS n, min(id) AS first_id FROM s WHERE own OR place <= 60 - have GROUP BY 1"),
     "label_batches": (_batches, "SELECT (row_number() OVER (ORDER BY p_partkey) - 1) // 150 AS batch, p_partkey AS id FROM part"),
     "similar_posts": (
         _post_jaccard,

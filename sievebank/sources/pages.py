@@ -143,23 +143,21 @@ def posts_of(pages: DataFrame, site: str = "https://example.org", companies: tup
     )
 
 
-def refilled(posts: DataFrame, companies: tuple[str, ...] | list[str] = COMPANIES, most: int = 5000) -> DataFrame:
+def refilled(posts: DataFrame, companies: DataFrame | tuple[str, ...] | list[str] = COMPANIES) -> DataFrame:
     """Company, job and round of all posts again, with a dictionary that their own names have grown.
 
-    The dictionary is a list for a pattern, so only the ``most`` frequent names join it.
+    All names that the posts carry join the dictionary but generic words and those without a
+    letter; ``companies`` is a list or a table of names (``name``).
     """
-    from ..functions.titles import learned
-
-    seen = posts.filter("company <> ''").groupBy("company").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "company").limit(most)
-    names = [*companies, *learned([r["company"] for r in seen.collect()])]
-    again = posts.withColumn("parsed", parse_title(F.col("title"), names))
-    said = F.when(F.col("parsed.round") != "", F.col("parsed.round")).otherwise(round_from_content(F.col("content")))
-    return again.withColumns(
-        {
-            "company": F.col("parsed.company"),
-            "job": F.col("parsed.job"),
-            "job_group": job_group(F.col("parsed.job")),
-            "round": said,
-            "round_group": round_group(said),
-        }
-    ).drop("parsed")
+    from ..functions.titles import is_generic, known_companies
+
+    spark = posts.sparkSession
+    base = companies if isinstance(companies, DataFrame) else spark.createDataFrame([(n,) for n in companies], "name string")
+    seen = posts.select(trim(F.col("company")).alias("name")).filter((F.col("name") != "") & ~is_generic(F.col("name")) & F.col("name").rlike("[A-Za-z\\p{IsHan}]"))
+    titles = posts.select(F.col("title").alias("key"), trim(F.col("title")).alias("title")).distinct()
+    known = known_companies(titles, base.select("name").union(seen).distinct())
+    met = posts.join(known.select(F.col("key").alias("_title"), F.col("known").alias("_known")), F.col("title") == F.col("_title"), "left")
+    again = met.withColumn("_parsed", parse_title(F.col("title"), known=F.coalesce("_known", F.lit(""))))
+    said = F.when(F.col("_parsed.round") != "", F.col("_parsed.round")).otherwise(round_from_content(F.col("content")))
+    again = again.withColumns({"company": F.col("_parsed.company"), "job": F.col("_parsed.job"), "job_group": job_group(F.col("_parsed.job")), "round": said, "round_group": round_group(said)})
+    return again.select(*posts.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 OFFICIAL = "array<struct<id:bigint,title:string,answer:string>>"
@@ -74,6 +75,33 @@ def write_snapshot(tables: dict[str, DataFrame], folder: str) -> str:
     return version
 
 
+def publish(tables: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
+    """Write all tables as a new version, and only then make it the current one; returns the tables as written."""
+    spark = next(iter(tables.values())).sparkSession
+    version = write_snapshot(tables, folder)
+    row = spark.createDataFrame([(version,)], "version string").withColumn("at", F.current_timestamp())
+    row.coalesce(1).write.mode("append").parquet(f"{folder.rstrip('/')}/current")
+    return read_snapshot(spark, version, *tables)
+
+
+def current(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
+    """The tables of the version that was published last."""
+    row = spark.read.parquet(f"{folder.rstrip('/')}/current").orderBy(F.desc("at"), "version").first()
+    return read_snapshot(spark, row["version"], *names)
+
+
+def gzip_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored pages: ``key``, the first 20 hexadecimal digits of the address's SHA-1, and the page behind gzip."""
+    from gzip import decompress
+
+    @F.pandas_udf("string")
+    def plain(data: pd.Series) -> pd.Series:
+        return data.map(lambda x: decompress(bytes(x)).decode("utf-8", "replace"))
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(folder)
+    return files.select(F.regexp_extract("path", r"([^/.]+)\\.[^/]*$", 1).alias("key"), plain("content").alias("html"))
+
+
 def read_snapshot(spark: SparkSession, version: str, *names: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{version}/{n}") for n in names}
 
