@@ -174,7 +174,7 @@ def persist_by(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
 def pack(values: np.ndarray) -> bytes:
     """Numbers as compressed bytes: first bytes together, then second ones, as neighbours are alike there."""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize)
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes.T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes.T))
 
 
 def unpack(data: bytes, dtype) -> np.ndarray:

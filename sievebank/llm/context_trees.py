@@ -89,10 +89,10 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def weighted(a: np.ndarray, b: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A node's weighted probability, and the weight of its own estimate in it."""
+    """A node's weighted probability, and the logarithm of its own estimate's weight in it."""
     own, other = HALF + log_kt(a, b), HALF + below
     both = np.maximum(own, other) + np.log(1 + np.exp(-np.abs(own - other)))
-    return both, np.exp(own - both)
+    return both, own - both
 
 
 def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +133,7 @@ class Tree:
             b = np.add.reduceat(count * ((pair >> np.uint64(7 - bit)) & np.uint64(1)), first)
             a = np.add.reduceat(count, first) - b
             if child is None:
-                log, weight = log_kt(a, b), np.ones(len(first))
+                log, weight = log_kt(a, b), np.zeros(len(first))
             else:
                 up = of[self.up[d + 1][levels[child][0]]]
                 levels[child] = (*levels[child][:-1], up)
@@ -152,7 +152,7 @@ class Tree:
             _, a, b, _, weight, of, up = levels[d]
             if d > self.top:
                 sums, rest, final = sums[up], rest[up], final[up]
-            sums, rest, final = mixed(a, b, weight, sums, rest, final)
+            sums, rest, final = mixed(a, b, np.exp(weight), sums, rest, final)
         one = (self.pairs[self.depth] >> np.uint64(7 - bit)) & np.uint64(1)
         p = final[of]
         return np.where(one == 1, p, 1 - p)
@@ -523,7 +523,7 @@ def from_root(level: np.ndarray, node: np.ndarray, a: np.ndarray, b: np.ndarray,
             child = levels[d + 1]
             levels[d + 1] = (child[0], of[len(of) - len(child[0]) :], *child[2:])
         log, weight = weighted(a, b, below)
-        levels[d] = (ids, None, a, b, weight, log)
+        levels[d] = (ids, None, a, b, np.exp(weight), log)
     out: dict[int, tuple] = {}
     for d in range(len(levels)):
         ids, up, a, b, weight, _ = levels[d]
