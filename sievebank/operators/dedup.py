@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.snapshot import kept
 from .leaders import followers
+from .listing import recounted
+from .maintenance import without
 
 TITLE_THRESHOLD, CROSS_THRESHOLD, CROSS_SIZE = 0.8, 0.9, 8
 
@@ -33,6 +35,25 @@ def similar_pairs(sets: DataFrame, allowed: Column, threshold: float, least: int
     return counted.withColumn("jaccard", F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).filter(F.col("jaccard") >= threshold)
 
 
+def exact_copies(sets: DataFrame, title: str | None = None) -> DataFrame:
+    """``id`` of the posts whose set (and title, if named) an earlier post has.
+
+    Such a post is like whatever its first copy is like, so it never stays; without it,
+    copies by the thousand make no pairs.
+    """
+    own = ["post_id"] + ([title] if title else [])
+    # a set is as large as its post
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("question_id")), lambda x: x.cast("string")), ",")
+    marked = sets.groupBy(*own).agg(F.sha2(whole, 256).alias("_set"))
+    alike = ["_set"] + ([title] if title else [])
+    firsts = marked.groupBy(*alike).agg(F.min("post_id").alias("_first"))
+    return marked.join(firsts, alike).filter("post_id > _first").select(F.col("post_id").alias("id"))
+
+
+def without_posts(sets: DataFrame, gone: DataFrame) -> DataFrame:
+    return sets.join(gone.select(F.col("id").alias("post_id")), "post_id", "left_anti")
+
+
 def duplicate_posts(sets: DataFrame, titles: DataFrame, threshold: float = TITLE_THRESHOLD) -> DataFrame:
     """``id`` of the posts that repeat an earlier kept one.
 
@@ -42,9 +63,26 @@ def duplicate_posts(sets: DataFrame, titles: DataFrame, threshold: float = TITLE
     """
     sets = sets.select("post_id", "question_id").distinct()
     titled = sets.join(titles.filter("title <> ''"), "post_id")
-    first = followers(similar_pairs(titled, F.lit(True), threshold, 1, "title")).select(F.col("node").alias("id"))
-    first = kept(first, "same-title")
-    left = sets.join(first.select(F.col("id").alias("post_id")), "post_id", "left_anti")
-    pairs = similar_pairs(left, F.lit(True), CROSS_THRESHOLD, CROSS_SIZE)
+    copies = kept(exact_copies(titled, "title"), "copies")
+    near = followers(similar_pairs(without_posts(titled, copies), F.lit(True), threshold, 1, "title")).select(F.col("node").alias("id"))
+    first = kept(copies.union(near), "same-title")
+    left = without_posts(sets, first)
+    large = left.groupBy("post_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= CROSS_SIZE).select("post_id")
+    left = kept(left.join(large, "post_id", "left_semi"), "large-sets")
+    copies = kept(exact_copies(left), "copies")
+    pairs = similar_pairs(without_posts(left, copies), F.lit(True), CROSS_THRESHOLD, CROSS_SIZE)
     pairs = pairs.filter(19 * F.col("c") >= 9 * (F.col("na") + F.col("nb")))
-    return first.union(followers(pairs).select(F.col("node").alias("id")))
+    return first.union(copies).union(followers(pairs).select(F.col("node").alias("id")))
+
+
+def removed(posts: DataFrame, occurrences: DataFrame, questions: DataFrame, gone: DataFrame) -> dict[str, DataFrame]:
+    """The tables without the posts in ``gone`` (``id``): counts renewed, questions that nothing asks left out.
+
+    ``report`` has one row: how many posts, occurrences and questions went.  Done twice it
+    changes nothing.
+    """
+    left, occ = without(posts, occurrences, gone)
+    asked = kept(recounted(questions, occ, left).filter("n > 0"), "questions-left")
+    sizes = [(name, old.agg(F.count(F.lit(1)).alias("a")), new.agg(F.count(F.lit(1)).alias("b"))) for name, old, new in (("posts", posts, left), ("occurrences", occurrences, occ), ("questions", questions, asked))]
+    rows = [a.join(b, F.lit(True)).select(F.lit(name).alias("what"), (F.col("a") - F.col("b")).alias("gone"), F.col("b").alias("left")) for name, a, b in sizes]
+    return {"posts": left, "occurrences": occ, "questions": asked, "report": rows[0].union(rows[1]).union(rows[2])}

@@ -46,8 +46,17 @@ def label_facets(questions: DataFrame, occurrences: DataFrame, posts: DataFrame,
 
 
 def facets(questions: DataFrame, occurrences: DataFrame, posts: DataFrame, flt: Filter) -> DataFrame:
-    """All eight lists in one table."""
-    return post_facets(posts, flt).unionByName(question_facets(questions, occurrences, posts, flt)).unionByName(label_facets(questions, occurrences, posts, flt))
+    """All eight lists in one table; the five of occurrences come from one star."""
+    rows = star(questions, occurrences, posts, Filter(date_from=flt.date_from, date_to=flt.date_to, include_noise=True))
+    blank = F.lit("")
+    noise = {c: F.when(F.col("llm_cat") == NOISE, blank).otherwise(F.col(c)) for c in LABEL_DIMENSIONS}
+    rows = rows.withColumns(noise | {"topic": F.when(F.col("category") == INTRO, blank).otherwise(F.col("topic"))})
+    return post_facets(posts, flt).unionByName(ranked(_counted(rows, QUESTION_DIMENSIONS + LABEL_DIMENSIONS)))
+
+
+def chip_row(facet: DataFrame, dimension: str, selected: str = "", most: int = 16) -> DataFrame:
+    """The first values of one list, and the selected one wherever it stands."""
+    return facet.filter(F.col("dim") == dimension).filter((F.col("rank") <= most) | (F.col("value") == selected)).orderBy("rank")
 
 
 def drill_down(taxonomy: DataFrame, label_counts: DataFrame) -> DataFrame:
@@ -87,19 +96,22 @@ def overview(questions: DataFrame, occurrences: DataFrame, posts: DataFrame, flt
         F.date_format(F.min(named), "yyyy-MM-dd").alias("date_min"),
         F.date_format(F.max(named), "yyyy-MM-dd").alias("date_max"),
     )
-    rows = star(questions, occurrences, posts, Filter(date_from=flt.date_from, date_to=flt.date_to, include_noise=True))
-    q, cat = F.col("question_id"), F.col("llm_cat")
-    of_rows = rows.agg(
-        F.count_distinct("post_id").alias("posts_with_questions"),
-        F.count(F.lit(1)).alias("raw_count"),
-        F.count(F.lit(1)).alias("occurrences"),
-        F.count_distinct(q).alias("questions"),
-        F.count_distinct(F.when(F.col("answer").isNotNull(), q)).alias("with_answer"),
-        F.count_distinct(F.when((cat != "") & (cat != NOISE), q)).alias("labeled"),
-        F.count_distinct(F.when(cat == NOISE, q)).alias("noise"),
-        F.count_distinct(F.when(cat == "", q)).alias("unlabeled"),
+    # counted by question first: several distinct counts at once would multiply the rows
+    ids = questions.select(F.col("id").alias("question_id"))
+    asked = occurrences.select("question_id", "post_id").join(ids, "question_id", "left_semi")
+    with_questions = own.join(asked.select(F.col("post_id").alias("_p")), F.col("id") == F.col("_p"), "left_semi").agg(F.count(F.lit(1)).alias("posts_with_questions"))
+    by_question = occurrences.select("question_id", "post_id").join(own.select(F.col("id").alias("post_id")), "post_id").groupBy("question_id").agg(F.count(F.lit(1)).alias("_n"))
+    cat = F.col("llm_cat")
+    of_rows = by_question.join(questions.select(F.col("id").alias("question_id"), "answer", "llm_cat"), "question_id").agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("raw_count"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("occurrences"),
+        F.count(F.lit(1)).alias("questions"),
+        F.count_if(F.col("answer").isNotNull()).alias("with_answer"),
+        F.count_if((cat != "") & (cat != NOISE)).alias("labeled"),
+        F.count_if(cat == NOISE).alias("noise"),
+        F.count_if(cat == "").alias("unlabeled"),
     )
     whole = posts.agg(F.date_format(F.min(named), "yyyy-MM-dd").alias("global_min"), F.date_format(F.max(named), "yyyy-MM-dd").alias("global_max"))
-    # three single rows side by side
+    # four single rows side by side
     one = F.lit(1).alias("_one")
-    return of_posts.select("*", one).join(of_rows.select("*", one), "_one").join(whole.select("*", one), "_one").drop("_one")
+    return of_posts.select("*", one).join(with_questions.select("*", one), "_one").join(of_rows.select("*", one), "_one").join(whole.select("*", one), "_one").drop("_one")

@@ -67,6 +67,41 @@ def category_report(questions: DataFrame, few: int = 4) -> DataFrame:
     return out.withColumn("few", F.col("n") <= few)
 
 
+def candidates(counted: DataFrame, whole: bool = False) -> DataFrame:
+    """The questions to be labelled, in the default order: those without a label, or all but noise."""
+    rows = counted.filter(F.lit(True) if whole else F.col("llm_cat") == "")
+    return rows.filter(F.col("llm_cat") != NOISE).select("question_id", F.col("canonical").alias("text"), F.col("category").alias("module"), "topic", "n").orderBy(F.desc("n"), F.char_length("canonical"), "question_id")
+
+
+def module_report(batch: DataFrame) -> DataFrame:
+    """How many questions to be labelled each module has, most first."""
+    return batch.groupBy("module").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "module")
+
+
+def load_report(assigned: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """One row about raw assignments (``text``, ``cat``): all, without a text, of unknown categories, noise, and norms labelled."""
+    known = taxonomy.select(F.col("name").alias("cat"), F.lit(True).alias("_known")).distinct()
+    rows = assigned.withColumn("norm", norm(F.coalesce("text", F.lit("")))).join(known, "cat", "left")
+    blank = F.col("norm") == ""
+    return rows.agg(
+        F.count(F.lit(1)).alias("assigned"),
+        F.count_if(blank).alias("without_text"),
+        F.count_if(~blank & F.col("_known").isNull()).alias("unknown"),
+        F.count_if(~blank & (F.col("cat") == NOISE)).alias("noise"),
+        F.count_distinct(F.when(~blank & F.col("_known"), F.col("norm"))).alias("norms"),
+    )
+
+
+def coverage(batches: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Per batch the rows asked (``batch``, ``id``) and answered, and whether the ids are the same."""
+    asked = batches.groupBy("batch", "id").agg(F.count(F.lit(1)).alias("a"))
+    got = assigned.groupBy("batch", "id").agg(F.count(F.lit(1)).alias("b"))
+    met = asked.join(got, ["batch", "id"], "left").union(got.join(asked, ["batch", "id"], "left_anti").select("batch", "id", F.lit(None).cast("long").alias("a"), "b"))
+    a, b = F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))
+    out = met.groupBy("batch").agg(F.sum(a).alias("asked"), F.sum(b).alias("answered"), F.every(a == b).alias("whole"))
+    return out.withColumn("whole", F.col("whole") & (F.col("asked") > 0))
+
+
 def rule_precision(texts: DataFrame, rules: dict[str, str], noise: str = "noise") -> DataFrame:
     """For each rule its hits, the share of them that is noise, and the share of all noise that it hits."""
     from ..functions.regex import found

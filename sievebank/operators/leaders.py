@@ -21,9 +21,10 @@ def followers(edges: DataFrame) -> DataFrame:
     """
     edges = kept(edges.select("a", "b").filter("a < b").distinct(), "links")
     state = kept(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("state", F.lit(0)), "nodes")
+    live, rounds = edges, 0
     while True:
         # of the smaller neighbours: is one a leader, is one undecided
-        seen = edges.join(state.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(
+        seen = live.join(state.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(
             F.max(F.col("state") == 1).alias("led"), F.max(F.col("state") == 0).alias("open")
         )
         new = state.join(seen, "node", "left").select(
@@ -40,3 +41,7 @@ def followers(edges: DataFrame) -> DataFrame:
             members = state.filter("state = 2").select(F.col("node").alias("b"))
             led = edges.join(leaders, "a").join(members, "b").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("leader"))
             return led
+        rounds += 1
+        if rounds > 1:  # what is decided needs no links any more, and followers decide nothing
+            open_ends = state.filter("state = 0").select(F.col("node").alias("b"))
+            live = kept(live.join(open_ends, "b", "left_semi").join(state.filter("state = 2").select(F.col("node").alias("a")), "a", "left_anti").select("a", "b"), "live-links")

@@ -36,16 +36,15 @@ def recounted(questions: DataFrame, occurrences: DataFrame, posts: DataFrame) ->
 
 
 def frequencies(questions: DataFrame, occurrences: DataFrame, posts: DataFrame, flt: Filter, variants: DataFrame | None = None) -> DataFrame:
-    """Per question the occurrences within the filter; ``co_n`` comes as it is stored."""
-    return (
-        star(questions, occurrences, posts, flt, variants)
-        .groupBy("question_id")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(F.col("official").cast("int")).alias("official_n"),
-            *[F.first(c).alias(c) for c in ("canonical", "category", "topic", "llm_merged", "llm_cat", "answer", "co_n")],
-        )
-    )
+    """Per question the occurrences within the filter; ``co_n`` comes as it is stored.
+
+    Occurrences are counted by id before the questions' texts are joined, so no text goes
+    through a shuffle once for each occurrence.
+    """
+    p = posts.filter(every(post_predicates(flt))).select(F.col("id").alias("post_id"))
+    counted = occurrence_counts(occurrences.select("question_id", "post_id", "official").join(p, "post_id"))
+    q = restricted_questions(questions, occurrences, variants, flt).withColumnRenamed("id", "question_id")
+    return counted.join(q, "question_id").select("question_id", "n", "official_n", "canonical", "category", "topic", "llm_merged", "llm_cat", "answer", "co_n")
 
 
 def order(sort: str) -> list[Column]:
@@ -110,6 +109,24 @@ def variant_sources(occurrences: DataFrame, questions: DataFrame, posts: DataFra
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("n_posts"), F.asc("text"))))
 
 
+def list_ranks(counted: DataFrame, most: int = 100) -> DataFrame:
+    """The first ``most`` questions of the default order with their places from 1."""
+    top = counted.orderBy(*order("")).limit(most)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order(""))))
+
+
+def question_occurrences(occurrences: DataFrame, posts: DataFrame, id_: int) -> DataFrame:
+    """All occurrences of one question with their posts, newest first."""
+    own = occurrences.filter(F.col("question_id") == F.lit(id_))
+    joined = own.join(posts.select(F.col("id").alias("post_id"), "title", "company", "round_group", "posted_at"), "post_id")
+    return joined.orderBy(F.desc("posted_at"), F.asc("post_id"))
+
+
+def question_variants(variants: DataFrame, id_: int) -> DataFrame:
+    """All wordings of one question, in order."""
+    return variants.filter(F.col("question_id") == F.lit(id_)).orderBy("text")
+
+
 def question(questions: DataFrame, occurrences: DataFrame, id_: int) -> DataFrame:
     """One question with its stored count and all its official occurrences; no row if there is none."""
     own = questions.filter(F.col("id") == F.lit(id_))

@@ -38,7 +38,7 @@ def rebuild(
     """
     posts = posts_of(pages, site, () if isinstance(companies, DataFrame) else companies)
     if old_posts is not None:
-        posts = upsert(old_posts, posts, "id", ("official_q",))
+        posts = upsert(old_posts, posts, "id", ("official_q", "author_name"))
     posts = kept(refilled(kept(posts, "posts"), companies), "posts")
     built = build_questions(kept(lines_of(posts), "lines"), merges, groups)
     questions, occurrences = built["questions"], built["occurrences"]

@@ -11,6 +11,11 @@ from ..functions.titles import COMPANIES, job_group, parse_title, round_from_con
 MARKER = "window.__INITIAL_STATE__="
 CONTENT = "$.prefetchData.2.ssrCommonData.contentData"
 QUESTIONS = "$.prefetchData.2.ssrCommonData.experienceQuestionList"
+#: The content's fields as text, whatever their kind in the page; numbers are cast afterwards.
+FIELDS = (
+    "uuid string, id string, title string, content string, createdAt string, createTime string, editTime string, entityType string, ip4Location string,"
+    " userBrief struct<userId:string,nickname:string>, frequencyData struct<likeCnt:string,totalCommentCnt:string,viewCnt:string>"
+)
 
 
 def state_json(html: Column) -> Column:
@@ -104,20 +109,36 @@ def looks_like_interview(title: Column, content: Column) -> Column:
 
 
 def posts_of(pages: DataFrame, site: str = "https://example.org", companies: tuple[str, ...] | list[str] = COMPANIES, gated: bool = True) -> DataFrame:
-    """Posts of content pages, with company, job and round; advertising and other noise left out."""
+    """Posts of content pages, with company, job and round; advertising and other noise left out.
+
+    The content is parsed once, all its fields together.
+    """
     state = state_json(F.col("html"))
-    rows = pages.withColumn("state", state).filter(F.col("state").isNotNull())
-    s = F.col("state")
+    rows = pages.select("url", state.alias("state")).filter(F.col("state").isNotNull())
+    rows = rows.select("url", F.from_json(dig(F.col("state"), CONTENT), FIELDS).alias("c"), dig(F.col("state"), QUESTIONS).alias("official_q"))
+
+    def words(name: str) -> Column:
+        return F.coalesce(F.col(f"c.{name}"), F.lit(""))
+
+    def number(name: str) -> Column:
+        return F.coalesce(F.col(f"c.{name}").try_cast("bigint"), F.lit(0).cast("bigint"))
+
     rows = rows.select(
         "url",
-        "html",
-        text_at(s, "uuid").alias("uuid"),
-        number_at(s, "id").alias("own_id"),
-        trim(text_at(s, "title")).alias("title"),
-        html_to_text(text_at(s, "content")).alias("content"),
-        first_time(number_at(s, "createdAt"), number_at(s, "createTime"), number_at(s, "editTime")).alias("posted_at"),
-        number_at(s, "entityType").cast("int").alias("entity_type"),
-        dig(s, QUESTIONS).alias("official_q"),
+        words("uuid").alias("uuid"),
+        number("id").alias("own_id"),
+        trim(words("title")).alias("title"),
+        words("content").alias("html"),
+        html_to_text(words("content")).alias("content"),
+        first_time(number("createdAt"), number("createTime"), number("editTime")).alias("posted_at"),
+        number("entityType").cast("int").alias("entity_type"),
+        words("ip4Location").alias("location"),
+        number("userBrief.userId").alias("author_id"),
+        words("userBrief.nickname").alias("author_name"),
+        number("frequencyData.likeCnt").alias("likes"),
+        number("frequencyData.totalCommentCnt").alias("comments"),
+        number("frequencyData.viewCnt").alias("views"),
+        "official_q",
     ).filter("uuid <> '' OR own_id <> 0")
     if gated:
         rows = rows.filter(looks_like_interview(F.col("title"), F.col("content")))
@@ -138,11 +159,47 @@ def posts_of(pages: DataFrame, site: str = "https://example.org", companies: tup
         "posted_at",
         F.to_date(F.timestamp_millis("posted_at")).alias("posted_date"),
         "entity_type",
-        topic_tag(F.col("html")).alias("topic_tag"),
+        trim(topic_tag(F.col("html"))).alias("topic_tag"),
+        "location",
+        "author_id",
+        "author_name",
+        "likes",
+        "comments",
+        "views",
         "official_q",
     )
 
 
+def survey(pages: DataFrame) -> DataFrame:
+    """Counts over raw pages: how they parse, what they seem to hold, entity types, months and kinds of address (``part``, ``value``, ``n``)."""
+    html, url = F.col("html"), F.col("url")
+    state = state_json(html)
+    rows = pages.select("url", state.alias("state"), (F.locate(MARKER, F.coalesce(html, F.lit(""))) > 0).alias("marked"))
+    rows = rows.select("url", "state", "marked", F.from_json(dig(F.col("state"), CONTENT), FIELDS).alias("c"), dig(F.col("state"), QUESTIONS).alias("q"))
+    text = F.coalesce(replaced(F.col("c.content"), R.TAG), F.lit(""))
+    title = trim(F.coalesce("c.title", F.lit("")))
+    time = first_time(*[F.coalesce(F.col(f"c.{x}").try_cast("bigint"), F.lit(0).cast("bigint")) for x in ("createdAt", "createTime", "editTime")])
+    parsed = F.col("c").isNotNull()
+    outcome = F.when(~F.col("marked"), "no state").when(F.col("state").isNull(), "broken state").when(~parsed, "no content").otherwise("parsed")
+    kind = F.when((title == "") & (text == ""), "empty").when(is_recruit_ad(title, text), "advertising").when(found(F.concat(title, F.lit("\n"), text), R.INTERVIEW_WORD), "interview").otherwise("other")
+    address = F.when(url.contains("/feed/"), "feed").otherwise("discuss")
+    listed = F.coalesce(q_size(F.col("q")), F.lit(0)) > 0
+    facts = F.array(
+        F.struct(F.lit("outcome").alias("part"), outcome.alias("value")),
+        F.struct(F.lit("kind").alias("part"), F.when(parsed, kind).alias("value")),
+        F.struct(F.lit("entity").alias("part"), F.when(parsed, F.coalesce("c.entityType", F.lit(""))).alias("value")),
+        F.struct(F.lit("month").alias("part"), F.when(parsed & (time != 0), F.date_format(F.timestamp_millis(time), "yyyy-MM")).alias("value")),
+        F.struct(F.lit("address").alias("part"), F.when(parsed, address).alias("value")),
+        F.struct(F.lit("interviews by address").alias("part"), F.when(parsed & (kind == "interview"), address).alias("value")),
+        F.struct(F.lit("with official list").alias("part"), F.when(parsed & listed, F.lit("yes")).alias("value")),
+    )
+    return rows.select(F.explode(facts).alias("f")).select("f.*").filter("value IS NOT NULL").groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_size(text: Column) -> Column:
+    return F.json_array_length(text)
+
+
 def refilled(posts: DataFrame, companies: DataFrame | tuple[str, ...] | list[str] = COMPANIES) -> DataFrame:
     """Company, job and round of all posts again, with a dictionary that their own names have grown.
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.titles import strict
+
 OFFICIAL = "array<struct<id:bigint,title:string,answer:string>>"
 JSONL_POSTS = "id long, uuid string, title string, content string, createdAt long, date string, interviewExp string"
 MANIFEST = "hash string, url string, status int, bytes int, fetchedAt long"
@@ -33,14 +36,19 @@ def kept(df: DataFrame, label: str) -> DataFrame:
 
 
 def jsonl_posts(spark: SparkSession, path: str) -> DataFrame:
-    """Posts in JSON lines; broken lines and rows without uuid or time are passed over."""
+    """Posts in JSON lines; broken lines and rows without uuid or time are passed over.
+
+    Company, job and round come from titles of the exact form alone.
+    """
     rows = spark.read.schema(JSONL_POSTS).option("mode", "DROPMALFORMED").json(path)
-    return rows.filter("uuid IS NOT NULL AND uuid <> '' AND createdAt IS NOT NULL AND createdAt <> 0").withColumn("source", F.lit("user"))
+    company, job, round_ = strict(F.coalesce("title", F.lit("")))
+    rows = rows.filter("uuid IS NOT NULL AND uuid <> '' AND createdAt IS NOT NULL AND createdAt <> 0")
+    return rows.withColumns({"source": F.lit("user"), "company": company, "job": job, "round": round_})
 
 
-def sitemap(spark: SparkSession, paths: list[str], prefix: str) -> DataFrame:
-    """Distinct content addresses below ``prefix``, without their queries, in order."""
-    pattern = prefix + r"/[^\s?<>\"]+"
+def sitemap(spark: SparkSession, paths: list[str], site: str) -> DataFrame:
+    """Distinct addresses of content pages of a site, without their queries, in order."""
+    pattern = re.escape(site) + r"/(?:feed/main/detail/[0-9a-f]+|discuss/[0-9]+)"
     urls = spark.read.text(paths).select(F.explode(F.regexp_extract_all("value", F.lit(f"({pattern})"))).alias("url"))
     return urls.distinct().orderBy("url")
 
@@ -60,8 +68,10 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).option("mode", "DROPMALFORMED").json(path).filter("url IS NOT NULL").orderBy("url")
 
 
-def queue(urls: DataFrame, fetched: DataFrame, shard: int = 0, shards: int = 1, limit: int | None = None, seed: int | None = None) -> DataFrame:
-    """Addresses of a shard that have not been fetched, shuffled if there is a seed."""
+def queue(urls: DataFrame, fetched: DataFrame, shard: int = 0, shards: int = 1, limit: int | None = None, seed: int | None = None, kind: str = "") -> DataFrame:
+    """Addresses of a shard (and of a kind, ``feed`` or ``discuss``) that have not been fetched, shuffled if there is a seed."""
+    if kind:
+        urls = urls.filter(F.contains("url", F.lit(f"/{kind}/")))
     out = urls.filter(shard_of(F.col("url"), shards) == shard).join(fetched.select("url"), "url", "left_anti")
     out = out.orderBy(F.xxhash64(F.lit(seed), "url"), "url") if seed is not None else out.orderBy("url")
     return out if limit is None else out.limit(limit)
@@ -99,7 +109,7 @@ def gzip_pages(spark: SparkSession, folder: str) -> DataFrame:
         return data.map(lambda x: decompress(bytes(x)).decode("utf-8", "replace"))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(folder)
-    return files.select(F.regexp_extract("path", r"([^/.]+)\\.[^/]*$", 1).alias("key"), plain("content").alias("html"))
+    return files.select(F.regexp_extract("path", r"([^/.]+)\.[^/]*$", 1).alias("key"), plain("content").alias("html"))
 
 
 def read_snapshot(spark: SparkSession, version: str, *names: str) -> dict[str, DataFrame]:
@@ -111,6 +121,18 @@ def write_batches(rows: DataFrame, folder: str) -> None:
     rows.repartition("batch").write.mode("append").partitionBy("batch").json(folder)
 
 
+def next_batch(spark: SparkSession, *folders: str) -> int:
+    """The number behind the largest ``batch`` in any of the folders; 0 where there is none."""
+    found = -1
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+            most = files.agg(F.max(F.regexp_extract("path", r"batch[=-](\d+)", 1).try_cast("int")).alias("n")).first()["n"]
+            found = max(found, -1 if most is None else most)
+    return found + 1
+
+
 def official_list(text: Column) -> Column:
     """The official questions of a post; none for text that is no such list."""
     return F.coalesce(F.from_json(text, OFFICIAL), F.array().cast(OFFICIAL))

@@ -26,7 +26,7 @@ def follow_posts(pages: DataFrame, checkpoint: str, current: Callable[[], DataFr
     def merge(batch: DataFrame, _: int) -> None:
         new = posts_of(batch).dropDuplicates(["id"])
         old = current()
-        replace(new if old is None else upsert(old, new, "id", ("official_q",)))
+        replace(new if old is None else upsert(old, new, "id", ("official_q", "author_name")))
 
     return pages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -163,10 +163,18 @@ def test_files(spark, tmp_path):
     assert [r.id for r in snapshot.jsonl_posts(spark, str(p)).collect()] == [1]
     m = tmp_path / "sitemap.txt"
     m.write_text("<loc>https://example.org/discuss/2?x=1</loc>\nhttps://example.org/discuss/1\nhttps://example.org/discuss/1")
-    assert [r.url for r in snapshot.sitemap(spark, [str(m)], "https://example.org/discuss").collect()] == ["https://example.org/discuss/1", "https://example.org/discuss/2"]
+    assert [r.url for r in snapshot.sitemap(spark, [str(m)], "https://example.org").collect()] == ["https://example.org/discuss/1", "https://example.org/discuss/2"]
     t = tmp_path / "taxonomy.json"
     t.write_text('{"domains":[{"name":"d","categories":[{"name":"c","desc":"x"}]}],"unclassified":{"name":"非题目","desc":"","count":1}}')
     assert [(r.name, r.domain, r.sort_order) for r in labels.taxonomy_of(spark, str(t)).orderBy("sort_order").collect()] == [("c", "d", 0), ("非题目", "非知识点", 1)]
+    import gzip
+
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "0123456789abcdef0123.html.gz").write_bytes(gzip.compress("<html>页</html>".encode()))
+    assert [tuple(r) for r in snapshot.gzip_pages(spark, str(tmp_path / "raw")).collect()] == [("0123456789abcdef0123", "<html>页</html>")]
+    assert snapshot.next_batch(spark, str(tmp_path / "out")) == 0
+    snapshot.write_batches(maintenance.batched(spark.range(7), [F.col("id")], 3, 4), str(tmp_path / "out"))
+    assert snapshot.next_batch(spark, str(tmp_path / "none"), str(tmp_path / "out")) == 7
     version = snapshot.write_snapshot({"a": spark.range(3)}, str(tmp_path / "bank"))
     assert snapshot.read_snapshot(spark, version, "a")["a"].count() == 3
 
