@@ -85,22 +85,25 @@ def known_companies(titles: DataFrame, names: DataFrame) -> DataFrame:
     """``key`` and ``known``, the longest of ``names`` (``name``) in each title (``key``, ``title``) that holds one.
 
     Every substring of a name's possible length meets the names in an equality join, so
-    neither table needs to fit anywhere; longer names in bytes go first, ties by name.
+    neither table needs to fit anywhere; longer names in bytes go first, ties by name.  Titles
+    may be long: one pass cuts them into windows, and rows carry a digest in place of the title.
     """
     name = trim(F.col("name"))
     words = names.select(name.alias("name")).filter(looks_like_company(F.col("name"))).groupBy(F.lower("name").alias("low")).agg(F.min("name").alias("name"))
-    low = F.lower("title")
-    grams = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.char_length(low)),
-            lambda i: F.transform(F.sequence(F.lit(2), F.least(F.lit(14), F.char_length(low) - i + 1)), lambda n: F.struct(i.alias("at"), F.substring(low, i, n).alias("gram"))),
-        )
-    )
-    long = titles.filter(F.char_length("title") >= 2).select("key", low.alias("whole"), F.explode(F.filter(grams, lambda g: F.char_length(g["gram"]) >= 2)).alias("g"))
-    met = long.select("key", "whole", "g.*").join(words, F.col("gram") == F.col("low"))
-    first = F.instr(F.col("whole"), F.col("gram")) == F.col("at")
-    good = met.filter(first & stands_alone(F.col("whole"), F.col("gram"), F.col("at")))
-    return good.groupBy("key").agg(F.min_by("name", F.struct(-F.octet_length("name"), "name")).alias("known"))
+    # a window is a character and up to fifteen behind it: what stands before, a name, and what stands after
+    padded = F.concat(F.lit(" "), F.lower("title"), F.lit(" "))
+    windows = F.regexp_extract_all(padded, F.lit("(?s)(?=(.{3,16}))"), F.lit(1))
+    digest = F.unhex(F.sha1(F.encode(F.col("key").cast("string"), "UTF-8"))).alias("_id")
+    own = titles.filter(F.char_length("title") >= 2)
+    long = own.select(digest, F.posexplode(windows).alias("at", "w"))
+    long = long.select("_id", "at", "w", F.explode(F.sequence(F.lit(2), F.least(F.lit(14), F.char_length("w") - 1))).alias("n"))
+    around = F.concat(F.left("w", F.lit(1)), F.lit(" "), F.substring("w", F.col("n") + 2, F.lit(1)))
+    long = long.select("_id", "at", around.alias("around"), F.substring("w", F.lit(2), F.col("n")).alias("gram"))
+    met = long.join(words, F.col("gram") == F.col("low"))
+    first = met.groupBy("_id", "low").agg(F.min_by("around", "at").alias("around"), F.min("name").alias("name"))
+    good = first.filter(F.col("low").rlike(r"[^\x00-\x7F]") | ~F.col("around").rlike("[a-z0-9]"))
+    best = good.groupBy("_id").agg(F.min_by("name", F.struct(-F.octet_length("name"), "name")).alias("known"))
+    return own.select(digest, "key").dropDuplicates(["_id"]).join(best, "_id").select("key", "known")
 
 
 def guess_company(title: Column, known: Column, may_guess: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import star_queries, text_queries
+from . import star_queries, state_queries, text_queries
 
-TABLES = (star_queries.QUERIES, text_queries.QUERIES)
+TABLES = (star_queries.QUERIES, text_queries.QUERIES, state_queries.QUERIES)
 
 
 def queries() -> dict:

@@ -251,14 +251,52 @@ def _windows(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+def splits_sql() -> str:
+    inline = f"list_filter(list_transform(string_split(regexp_replace(s, '([？?])', '\\1' || chr(1), 'g'), chr(1)), lambda x: {sub('x', ENDS)}), lambda x: x <> '')"
+    cut = lambda x, p: f"regexp_split_to_array({x}, {q(p)})"
+    parts = f"list_filter(list_transform(flatten(list_transform({cut('body', R.COMPOUND)}, lambda x: {cut('x', R.COMMAS)})), lambda x: {sub('x', ENDS)}), lambda x: x <> '')"
+    prefix = sub(sub("lead", ENDS), "[：:、 \t]+$")
+    return f"""WITH l AS ({ALL_LINES}), a AS (SELECT s, regexp_extract(s, {q(R.ALGO_LEAD)}) AS lead FROM l),
+b AS (SELECT s, lead, {inline} AS several, {sub("substring(s, length(lead) + 1)", ENDS)} AS body FROM a), c AS (SELECT *, {parts} AS parts, {prefix} AS prefix FROM b)
+SELECT s, CASE WHEN length(s) > 40 AND len(regexp_extract_all(s, '[？?]')) >= 2 AND len(several) > 1 THEN array_to_string(several, '|') ELSE s END AS inline,
+ CASE WHEN lead <> '' AND len(parts) > 1 AND len(list_filter(parts, lambda x: length(x) < 2)) = 0 THEN array_to_string(list_transform(parts, lambda x: prefix || '：' || x), '|') ELSE s END AS compound FROM c"""
+
+
+def headings_sql() -> str:
+    table = tuple((name, pattern) for _, name, pattern in R.HEADINGS)
+    lines = f"list_filter(list_transform(string_split(s, chr(10)), lambda x: {sub(sub('x', R.HEADING_LEAD), ENDS)}), lambda x: x <> '' AND length(x) <= 24)"
+    chained = chain("x", table, "''")
+    names = f"list_distinct(list_filter(list_transform({lines}, lambda x: {chained}), lambda x: x <> ''))"
+    return f"WITH l AS ({values_sql(CONTENTS)} UNION SELECT text FROM documents), n AS (SELECT s, {names} AS names FROM l) SELECT s, CASE WHEN len(names) = 1 THEN names[1] ELSE '' END AS round FROM n"
+
+
+def scan_sql(name: str, posts: str, pairs: str) -> str:
+    """One scan in the order of ids: a post goes if one that stays before it is like it."""
+    return f"""{name}_near AS (SELECT p.place, p.id, coalesce(list(x.a) FILTER (x.a IS NOT NULL), []) AS before
+ FROM (SELECT id, row_number() OVER (ORDER BY id) AS place FROM {posts}) p LEFT JOIN {pairs} x ON x.b = p.id GROUP BY 1, 2),
+{name}_scan AS (SELECT CAST(0 AS BIGINT) AS place, CAST(NULL AS BIGINT) AS id, false AS gone, CAST([] AS BIGINT[]) AS kept
+ UNION ALL SELECT n.place, n.id, len(list_intersect(before, kept)) > 0, CASE WHEN len(list_intersect(before, kept)) > 0 THEN kept ELSE list_append(kept, n.id) END
+ FROM {name}_scan s JOIN {name}_near n ON n.place = s.place + 1)"""
+
+
+REPOSTS_SQL = f"""WITH RECURSIVE s AS (SELECT DISTINCT doc_id AS id, s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents) WHERE s <> ''),
+t AS (SELECT doc_id AS id, lower({sub("string_split(text, chr(10))[1]", R.NON_WORD)}) AS title FROM documents),
+n AS (SELECT s.id, title, count(*) AS n FROM s JOIN t ON t.id = s.id GROUP BY 1, 2),
+c AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2),
+j AS (SELECT a, b, c / (m.n + k.n - c) AS jaccard, m.title = k.title AND m.title <> '' AS same, least(m.n, k.n) AS least FROM c JOIN n m ON m.id = a JOIN n k ON k.id = b),
+one_pairs AS (SELECT a, b FROM j WHERE same AND jaccard >= 0.8), {scan_sql("one", "n", "one_pairs")},
+rest AS (SELECT id FROM one_scan WHERE place > 0 AND NOT gone),
+two_pairs AS (SELECT a, b FROM j WHERE least >= 8 AND jaccard >= 0.9 AND a IN (SELECT id FROM rest) AND b IN (SELECT id FROM rest)), {scan_sql("two", "rest", "two_pairs")}
+SELECT id FROM one_scan WHERE gone UNION ALL SELECT id FROM two_scan WHERE gone"""
+
 QUERIES = {
     "text_norm": (_norm, NORM_SQL),
     "text_clean": (_clean, clean_sql()),
     "text_questions": (_question, question_sql()),
-    "text_splits": (_split, None),
+    "text_splits": (_split, splits_sql()),
     "title_rounds_jobs": (_rounds, ROUND_SQL),
     "title_parse": (_parsed, None),
-    "title_from_content": (_headings, None),
+    "title_from_content": (_headings, headings_sql()),
     "post_gates": (_gates, gates_sql()),
     "page_text": (_page_text, page_text_sql()),
     "page_keys": (_page_keys, f"SELECT page_id, substring(sha1(url), 1, 20) AS key, CAST({SHARD} AS BIGINT) AS shard, string_split(url, '?')[1] AS bare, 'https://example.org/x' AS absolute FROM pages"),
@@ -267,7 +305,7 @@ QUERIES = {
     "extract_lines": (_extract, None),
     "cluster_questions": (_clusters, None),
     "like_pairs": (_like, LIKE_SQL),
-    "reposts": (_reposts, None),
+    "reposts": (_reposts, REPOSTS_SQL),
     "label_join": (_labeled, "SELECT d.doc_id AS id, CASE WHEN quality = 1 THEN 'quality 1' ELSE '' END AS llm_cat, CASE WHEN quality = 1 THEN 'quality' ELSE '' END AS llm_domain, CASE WHEN quality = 1 THEN 'good' ELSE '' END AS llm_merged FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
     "label_stats": (_label_stats, "SELECT (SELECT count(*) FROM labels) AS labels, (SELECT count(*) FROM labels JOIN documents USING (doc_id) WHERE quality = 1) AS applied"),
     "rule_precision": (
