@@ -61,14 +61,15 @@ def duplicate_posts(sets: DataFrame, titles: DataFrame, threshold: float = TITLE
     for sets of at least eight questions and a similarity of 0.9.  ``titles`` has ``post_id``
     and ``title``, normalised; blank titles form no group.
     """
-    sets = sets.select("post_id", "question_id").distinct()
+    # read many times below
+    sets = kept(sets.select("post_id", "question_id").distinct(), "posts-sets")
     titled = sets.join(titles.filter("title <> ''"), "post_id")
     copies = kept(exact_copies(titled, "title"), "copies")
     near = followers(similar_pairs(without_posts(titled, copies), F.lit(True), threshold, 1, "title")).select(F.col("node").alias("id"))
     first = kept(copies.union(near), "same-title")
     left = without_posts(sets, first)
     large = left.groupBy("post_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= CROSS_SIZE).select("post_id")
-    left = kept(left.join(large, "post_id", "left_semi"), "large-sets")
+    left = left.join(large, "post_id", "left_semi")
     copies = kept(exact_copies(left), "copies")
     pairs = similar_pairs(without_posts(left, copies), F.lit(True), CROSS_THRESHOLD, CROSS_SIZE)
     pairs = pairs.filter(19 * F.col("c") >= 9 * (F.col("na") + F.col("nb")))
