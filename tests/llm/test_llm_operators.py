@@ -496,6 +496,49 @@ def test_image_copies_of_each_kind_are_found(spark):
     assert mine <= want and len(mine) >= 0.9 * len(want), (mine ^ want)
 
 
+def test_images_that_share_no_key_are_compared(spark):
+    seeds = [67, 86, 74, 230, 216, 1, 72, 246, 248, 287, 299]  # the first six are queries
+    images = {(100 * k if k < 6 else 100 * k + 3): image_copies.encode(image_copies.drawn(s)) for k, s in enumerate(seeds)}
+    plain = {i: image_copies.describe(image_copies.decode(m)) for i, m in images.items()}
+    held = {i: image_copies.keys_of(*x) for i, x in plain.items()}
+    want = {(u, v): image_copies.consensus(*plain[u], *plain[v]) for u in images for v in images if u % 100 == 0 and u != v}
+    want = {pair: found for pair, found in want.items() if found[1] >= image_copies.AGREE}
+    assert any(len(np.intersect1d(held[u], held[v])) < image_copies.SHARED for u, v in want)
+    df = spark.createDataFrame(list(images.items()), "image_id long, media binary").repartition(3)
+    assert {(x.query_id, x.match_id): (x.n_matched, x.n_agree) for x in image_copies.find_copies(df).collect()} == want
+
+
+@pytest.mark.parametrize("width,full", [(1600, 3000), (7, 3000), (1600, 20)])
+def test_comparing_side_by_side_leaves_out_no_image(monkeypatch, width, full):
+    monkeypatch.setattr(image_copies, "WIDTH", width)
+    monkeypatch.setattr(image_copies, "FULL", full)
+    r = np.random.default_rng(4)
+
+    def image(n, base=None, flips=0):
+        if base is None:
+            points = np.column_stack([r.uniform(0, 300, (n, 2)), r.choice([0.5, 0.8, 1], n), r.uniform(-3, 3, n)]).astype(np.float32)
+            return points, r.integers(0, 1 << 63, (n, 4), dtype=np.uint64)
+        points, words = base[0][:n].copy(), base[1][:n].copy()
+        for row in words:
+            for bit in r.choice(256, flips, replace=False).tolist():
+                row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        points[:, :2] += r.uniform(-1.2, 1.2, (n, 2)).astype(np.float32)
+        return points, words
+
+    asked = [image(n) for n in (0, 5, 8, 9, 13, 22, 40, 64)]
+    asked[5][1][3] = ~np.uint64(0)  # all bits set
+    others = [image(n, a, flips) for a in asked for n in (8, 11, 64) if n <= len(a[0]) for flips in (0, 30, 59, 60, 61)]
+    others += [image(30), (asked[6][0], ~asked[6][1]), (asked[6][0], np.concatenate([~asked[6][1][:9], asked[6][1][9:]])), image(7, asked[7]), image(0)]
+    side = image_copies.Asked([x for x, _ in asked], [x for _, x in asked])
+    agreeing = 0
+    for q, b in others:
+        found = side.likely(q, b).tolist()
+        want = {k for k, x in enumerate(asked) if image_copies.consensus(*x, q, b)[1] >= image_copies.AGREE}
+        assert want <= set(found) and len(found) == len(set(found))
+        agreeing += len(want)
+    assert agreeing > 20
+
+
 def test_no_images(spark):
     for kind in ("image_id long, media binary", "image_id long, media binary, node string"):
         assert image_copies.find_copies(spark.createDataFrame([], kind)).collect() == []
