@@ -279,3 +279,22 @@ def test_rebuild_and_its_snapshot(spark, tmp_path):
     assert {r.canonical for r in again["questions"].collect()} == set(questions)
     manifest = spark.createDataFrame([("a", rows[0][1], 200, 5, 1), ("b", rows[2][1], 200, 5, 1), ("c", "https://example.org/gone", 200, 5, 1)], snapshot.MANIFEST)
     assert [r.hash for r in rb.checked(manifest, pages).collect()] == ["a"]
+
+
+def like(a, b, symmetric):
+    """Whether the later key ``b`` is like ``a``."""
+    return greedy([a, b], symmetric)[1] == 0
+
+
+def test_large_blocks_give_each_pair_once(spark, monkeypatch):
+    r = random.Random(7)
+    names = {f"supplier{k:06d}" for k in range(60)} | {f"supplier{k:06d}" for k in range(0, 990_000, 16_500)}
+    names |= {x[: r.randint(9, 13)] for x in r.sample(sorted(names), 12)} | {x + r.choice(["7", "ab"]) for x in r.sample(sorted(names), 12)}
+    long = "".join(r.choice("abcdefgh") for _ in range(90))
+    keys = sorted(names) + [long, long[:40] + "z" + long[40:], long[5:]]
+    r.shuffle(keys)
+    df = spark.createDataFrame(list(enumerate(keys)), "id long, key string")
+    monkeypatch.setattr(cluster, "TILE", 16)
+    for symmetric in (False, True):
+        want = sorted((i, j, keys[i], keys[j]) for j in range(len(keys)) for i in range(j) if like(keys[i], keys[j], symmetric))
+        assert sorted(tuple(x) for x in cluster.like_keys(df, symmetric, large=100).collect()) == want
