@@ -91,3 +91,9 @@ def test_rounds(spark):
     assert values(spark, ["一面", "HR面", "笔试", "", "复活赛 一面"], ti.round_group) == ["一面", "HR 面", "三面及以上", "", "复活赛"]
     assert values(spark, ["Agent开发", "全栈", "C++", "golang", "测试"], ti.job_group) == ["Agent 开发", "全栈开发", "C++", "Go", "其他"]
     assert values(spark, ["我在 google 面试", "xgoogley"], lambda s: ti.company_in(s, ["google"])) == ["google", ""]
+
+
+def test_rules_read_odd_lines_as_sql_does(spark):
+    """RE2 ends a text at its end alone and knows the Kelvin sign as a k; Java does neither."""
+    assert values(spark, ["数据库的事务隔离级别过了\r", "数据库的事务隔离级别过了", None], t.is_question) == [True, False, None]
+    assert values(spark, ["K8s 调度策略", "k8s 调度策略"], lambda s: t.topic_of(s, t.classify(s))) == ["容器 / K8s"] * 2
