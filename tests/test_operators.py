@@ -298,3 +298,25 @@ def test_large_blocks_give_each_pair_once(spark, monkeypatch):
     for symmetric in (False, True):
         want = sorted((i, j, keys[i], keys[j]) for j in range(len(keys)) for i in range(j) if like(keys[i], keys[j], symmetric))
         assert sorted(tuple(x) for x in cluster.like_keys(df, symmetric, large=100).collect()) == want
+
+
+def test_leaders_of_many_alike_keys_come_from_portions(spark, monkeypatch):
+    r = random.Random(9)
+    keys = list({f"supplier{k:06d}" for k in r.sample(range(60_000), 150)}) + ["", "abc", "abcdefg", "xabcdefgx", "einzeln stehend", "ganz anderer text"]
+    keys += [x[: r.randint(9, 13)] for x in keys[:20]]
+    keys = list(dict.fromkeys(keys))
+    r.shuffle(keys)
+    df = spark.createDataFrame([*enumerate(keys), (len(keys), None)], "id long, key string")
+    asked = []
+    pairs = cluster.like_pairs
+    monkeypatch.setattr(cluster, "like_pairs", lambda keys, *more: asked.append(keys.count()) or pairs(keys, *more))
+    for symmetric in (False, True):
+        for portion in (4096, 64):
+            asked.clear()
+            led = {row.node: row.leader for row in cluster.like_followers(df, symmetric, portion).collect()}
+            assert {k: led.get(k, k) for k in range(len(keys))} == greedy(keys, symmetric)
+            assert portion == 64 or not asked  # one scan, no pairs
+    few = [f"{k:03d}" * 5 + "".join(r.choice("abcdefghij") for _ in range(20)) for k in range(90)]
+    few += [x[:-1] + "z" for x in few[:20]]
+    led = {row.node: row.leader for row in cluster.like_followers(spark.createDataFrame(list(enumerate(few)), "id long, key string"), False, 32).collect()}
+    assert {k: led.get(k, k) for k in range(len(few))} == greedy(few, False) and asked[-1] == len(few)
