@@ -320,3 +320,20 @@ def test_leaders_of_many_alike_keys_come_from_portions(spark, monkeypatch):
     few += [x[:-1] + "z" for x in few[:20]]
     led = {row.node: row.leader for row in cluster.like_followers(spark.createDataFrame(list(enumerate(few)), "id long, key string"), False, 32).collect()}
     assert {k: led.get(k, k) for k in range(len(few))} == greedy(few, False) and asked[-1] == len(few)
+
+
+def test_similar_pairs_by_combinations(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    sets = {k: set(r.sample(range(24), r.choice([1, 2, 3, 4, 5, 6, 8, 11, 17]))) for k in range(110)}
+    for k in range(110, 150):
+        sets[k] = set(sets[k - 90]) ^ set(r.sample(range(24), 2))
+    rows = [(k, q) for k, own in sets.items() for q in own]
+    df = spark.createDataFrame(rows, "post_id long, question_id long")
+    for threshold, least in ((0.5, 2), (0.8, 1)):
+        near = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and min(len(sets[a]), len(sets[b])) >= least}
+        want = {k: v for k, v in near.items() if v >= threshold}
+        for small in (0, 6, 15, 16):
+            got = dedup.similar_pairs(df, F.lit(True), threshold, least, small=small).collect()
+            assert len(got) == len(want) and {(x.a, x.b): x.jaccard for x in got} == want
